@@ -28,7 +28,7 @@ DICTIONARY_BOUND = 65_536
 _DELIMITERS = re.compile(rf"[\s{LIST_PUNCTUATION}]+")
 _QUOTED = re.compile(r'"(?:[^"\\]|\\.|"")*"', re.S)
 _RUN = re.compile(rf"[^\s{LIST_PUNCTUATION}]+")
-_SPLIT = re.compile(rf"[^\s{LIST_PUNCTUATION}]+")
+_ESCAPED = re.compile(r'\\"|""')
 
 
 def fold(field: str) -> str:
@@ -42,7 +42,7 @@ def fold(field: str) -> str:
 
 
 def unquote(literal: str) -> str:
-    return literal[1:-1].replace('\\"', '"').replace('""', '"')
+    return _ESCAPED.sub('"', literal[1:-1])
 
 
 @lru_cache(maxsize=4)
@@ -103,7 +103,7 @@ def segment(field: str, known: tuple[str, ...] = ()) -> list[str]:
         for last, length in machine.iter(s):
             matches.setdefault(last + 1 - length, []).append(last + 1)
     if '"' not in s and not matches:
-        return _SPLIT.findall(s)  # plain runs only: the cover is unique
+        return _RUN.findall(s)  # plain runs only: the cover is unique
     out = []
     for i, j in best_cover(s, matches):
         value = s[i:j]

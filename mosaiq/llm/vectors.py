@@ -1,0 +1,179 @@
+"""Vectors in blocks of neighbours, shared by clustering, near-duplicate and neighbour operators.
+
+A vector is comparable if it has the right length, is finite and not all zero. It is turned by a fixed random rotation,
+scaled to its largest coordinate and kept as 16-bit integers: half the bytes to shuffle, cosines off by some 1e-6.
+Records with the same packed vector are copies; one row stands for them.
+
+Blocks come from pivots, a bounded sample of the vectors themselves: each vector joins the blocks of its `probes` nearest
+pivots, so two similar vectors share at least one block almost surely (recall: README). As pivots follow the density of
+the data, dense regions get more of them and blocks keep about the same size. A block whose expected size, estimated
+from the sample, exceeds BLOCK_ROWS is split: its vectors are hashed into parts, and each pair of parts is a block.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from mosaiq.runtime import cut_lineage
+
+DIM = 64
+ROTATION_SEED = 20_240_117
+ROWS_PER_PIVOT = 512
+MOST_PIVOTS = 16_384  # 2 MB packed
+BLOCK_ROWS = 20_000
+PART_BITS = 12
+
+
+@lru_cache(maxsize=4)
+def rotation(dim: int = DIM) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng(ROTATION_SEED).standard_normal((dim, dim)))
+    return q * np.sign(np.diag(r))
+
+
+def comparable(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the comparable vectors of a list column, and the vectors in double precision, of unit length."""
+    offsets = column.offsets.to_numpy()
+    fit = (np.diff(offsets) == dim) & column.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.nonzero(fit)[0]
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    found = values[offsets[rows][:, None] + np.arange(dim)] if len(rows) else np.empty((0, dim))
+    peak = np.abs(found).max(1, initial=0)
+    good = np.isfinite(found).all(1) & (peak > 0)
+    rows, found = rows[good], found[good] / peak[good, None]
+    return rows, found / np.linalg.norm(found, axis=1)[:, None]
+
+
+def pack(unit: np.ndarray) -> np.ndarray:
+    """Rotated rows as 16-bit integers."""
+    turned = unit @ rotation(unit.shape[1])
+    return np.rint(turned * (32_767 / np.abs(turned).max(1, keepdims=True))).astype("<i2")
+
+
+def as_binary(packed: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1] * 2), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+
+
+def unpack(column: pa.Array, dim: int = DIM) -> np.ndarray:
+    """Unit rows in single precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, dim), np.float32)
+    start = column.offset
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[start : start + 2]
+    raw = np.frombuffer(column.buffers()[2], "<i2", count=len(column) * dim, offset=int(offsets[0])).reshape(-1, dim)
+    found = raw.astype(np.float32)
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def packed_points(df: DataFrame, key: str = "point_id", vector: str = "image_vec", dim: int = DIM) -> DataFrame:
+    """(id, vec) of the rows with a key and a comparable vector; equal rows of a batch are folded."""
+    source = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, unit = comparable(batch.column(1), dim)
+            if len(rows):
+                ids, small = batch.column(0).to_numpy()[rows], pack(unit)
+                both = np.concatenate([ids[:, None].view("<i2").reshape(len(ids), 4), small], axis=1)
+                _, first = np.unique(np.ascontiguousarray(both).view(f"V{2 * dim + 8}").ravel(), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first]), as_binary(small[first])], names=["id", "vec"])
+
+    return source.mapInArrow(run, "id long, vec binary")
+
+
+def distinct_vectors(points: DataFrame) -> DataFrame:
+    """(vec, rep, top): each distinct vector with the least and the greatest id that carries it; checkpointed."""
+    return cut_lineage(points.groupBy("vec").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
+
+
+def copies_of(points: DataFrame, vectors: DataFrame) -> DataFrame | None:
+    """(id, rep) of all points whose vector several points carry; None if there are none."""
+    shared = vectors.where(F.col("top") != F.col("rep")).select("vec", "rep")
+    if shared.isEmpty():
+        return None
+    return cut_lineage(points.join(shared, "vec").select("id", "rep").distinct())
+
+
+def sample_pivots(vectors: DataFrame, rows: int, dim: int = DIM) -> np.ndarray:
+    """About one pivot per ROWS_PER_PIVOT vectors, at most MOST_PIVOTS, the same on every run."""
+    count = int(min(MOST_PIVOTS, max(1, rows // ROWS_PER_PIVOT)))
+    found = vectors.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(count).select("vec").toArrow()
+    return unpack(found.column(0), dim)
+
+
+def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndarray:
+    """Numbers of the `probes` nearest pivots of each row, in no order."""
+    probes = min(probes, len(pivots))
+    out = np.empty((len(unit), probes), np.int32)
+    for s in range(0, len(unit), 1024):
+        near = unit[s : s + 1024] @ pivots.T
+        out[s : s + 1024] = np.argpartition(near, len(pivots) - probes, axis=1)[:, len(pivots) - probes :]
+    return out
+
+
+def in_blocks(vectors: DataFrame, probes: int, dim: int = DIM) -> DataFrame:
+    """(block, id, vec): each distinct vector once for each of its blocks."""
+    rows = vectors.count()
+    pivots = sample_pivots(vectors, rows, dim)
+    if not len(pivots):
+        return vectors.select(F.lit(0).cast("long").alias("block"), F.col("rep").alias("id"), "vec").limit(0)
+    load = np.bincount(nearest_pivots(pivots, pivots, probes).ravel(), minlength=len(pivots)) * (rows / len(pivots))
+    parts = np.clip(np.ceil(load / BLOCK_ROWS), 1, (1 << PART_BITS) - 1).astype(np.int64)
+    shared = vectors.sparkSession.sparkContext.broadcast((pivots, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, parts = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = nearest_pivots(unpack(batch.column(1), dim), pivots, probes)
+            ids = batch.column(0).to_numpy()
+            row = np.repeat(np.arange(len(ids)), cells.shape[1])
+            cell = cells.ravel().astype(np.int64)
+            times = parts[cell]
+            row, cell, split = np.repeat(row, times), np.repeat(cell, times), np.repeat(times, times)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            own = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split
+            block = (cell << (2 * PART_BITS)) | (np.minimum(own, other) << PART_BITS) | np.maximum(own, other)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(ids[row]), batch.column(1).take(take)], names=["block", "id", "vec"])
+
+    return vectors.select("rep", "vec").mapInArrow(run, "block long, id long, vec binary")
+
+
+def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[object, pa.Table]]:
+    """Runs of equal keys in sorted batches, each as one table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy()
+        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and held[-1].column(column)[0].as_py() != keys[s]:
+                yield held[0].column(column)[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield held[0].column(column)[0].as_py(), pa.Table.from_batches(held)
+
+
+def per_block(blocks: DataFrame, work: Callable[[np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str, dim: int = DIM) -> DataFrame:
+    """work(ids, unit vectors) of each block, the ids sorted; blocks of one vector are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            if rows.num_rows > 1:
+                ids = rows.column("id").to_numpy()
+                order = np.argsort(ids, kind="stable")
+                out = work(ids[order], unpack(rows.column("vec"), dim)[order])
+                if out is not None and out.num_rows:
+                    yield out
+
+    return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)

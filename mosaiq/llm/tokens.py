@@ -77,6 +77,13 @@ def pretoken_pattern(limit: int = sys.maxunicode) -> re.Pattern:
 _BEYOND_TABLE = re.compile("[\U00010000-\U0010ffff]")
 
 
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{SPACE}]", c))
+
+
+def is_space(pretoken: str) -> bool:
+    return pretoken[-1] in _SPACES  # a word may begin with a space, but not end with one
+
+
 def pretokens(text: str) -> list[str]:
     return pretoken_pattern(sys.maxunicode if _BEYOND_TABLE.search(text) else 0xFFFF).findall(text)
 

@@ -48,7 +48,7 @@ terms AS (SELECT row_id, point_id, CAST(row_number() OVER (PARTITION BY row_id O
 def epoch_seconds(stamp: Column) -> Column:
     """Epoch seconds of a stamp in seconds, milli-, micro- or nanoseconds, told apart by size; null for 0 and below."""
     scaled = F.when(stamp < 10**11, stamp)
-    for digits in (3, 6, 9):
+    for digits in (3, 6):
         scaled = scaled.when(stamp < 10 ** (11 + digits), F.floor(stamp / F.lit(10**digits)))
     return F.when(stamp > 0, scaled.otherwise(F.floor(stamp / F.lit(10**9)))).cast("long")
 

@@ -53,7 +53,7 @@ def epoch_seconds(stamp: Column) -> Column:
     return F.when(stamp > 0, scaled.otherwise(F.floor(stamp / F.lit(10**9)))).cast("long")
 
 
-_SECONDS_SQL = (
+SECONDS_SQL = (
     "CASE WHEN ingestion_date <= 0 THEN NULL WHEN ingestion_date < 100000000000 THEN ingestion_date WHEN ingestion_date < 100000000000000 THEN ingestion_date // 1000 "
     "WHEN ingestion_date < 100000000000000000 THEN ingestion_date // 1000000 ELSE ingestion_date // 1000000000 END"
 )
@@ -83,7 +83,7 @@ ORACLES = {
         WITH s AS (SELECT {normal_sql('site')} AS site FROM post_embeddings)
         SELECT site FROM s WHERE site IS NOT NULL GROUP BY site HAVING count(*) >= 0.07 * (SELECT count(*) FROM post_embeddings)""",
     "p3_sites": f"""
-        SELECT {normal_sql('site')} AS site, count(*) AS n_rows, count(DISTINCT point_id) AS n_points, min({_SECONDS_SQL}) AS first_ingestion, max({_SECONDS_SQL}) AS last_ingestion
+        SELECT {normal_sql('site')} AS site, count(*) AS n_rows, count(DISTINCT point_id) AS n_points, min({SECONDS_SQL}) AS first_ingestion, max({SECONDS_SQL}) AS last_ingestion
         FROM post_embeddings GROUP BY 1""",
     "p7_found": f"WITH {TERMS_SQL} SELECT row_id, pos, term FROM terms",
 }

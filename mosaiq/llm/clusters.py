@@ -22,25 +22,24 @@ from mosaiq.runtime import cut_lineage
 MIN_COSINE = 0.86
 MIN_POINTS = 8
 PROBES = 6
-ROWS = 512
 
 
 def block_groups(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, group, density) of the vectors of one block that have a link; group is the least id of the group."""
     first = np.concatenate([[True], ids[1:] != ids[:-1]])
     ids, unit = ids[first], unit[first]
-    near = np.empty(len(ids), np.int64)
-    for s in range(0, len(ids), ROWS):
-        near[s : s + ROWS] = (unit[s : s + ROWS] @ unit.T >= least).sum(1)
+    near, tile = np.empty(len(ids), np.int64), V.tile_rows(len(ids))
+    for s in range(0, len(ids), tile):
+        near[s : s + tile] = (unit[s : s + tile] @ unit.T >= least).sum(1)
     linked = np.nonzero(near > 1)[0]  # each is near itself
     if not len(linked):
         return ids[:0], ids[:0], near[:0]
     order = linked[np.lexsort((ids[linked], -near[linked]))]  # densest first: denser is an earlier place
     ids, unit, near = ids[order], unit[order], near[order]
     size = len(ids)
-    pointer, rows = np.arange(size), []
-    for s in range(0, size, ROWS):
-        e = min(s + ROWS, size)
+    pointer, rows, tile = np.arange(size), [], V.tile_rows(size)
+    for s in range(0, size, tile):
+        e = min(s + tile, size)
         cos = unit[s:e] @ unit[:e].T
         cos[np.arange(e) >= np.arange(s, e)[:, None]] = -2
         best = cos.argmax(1)
@@ -54,7 +53,7 @@ def block_groups(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.nd
         pointer = further
     touching = []
     for k, bits in enumerate(rows):
-        s, e = k * ROWS, min((k + 1) * ROWS, size)
+        s, e = k * tile, min((k + 1) * tile, size)
         across = np.unpackbits(bits, axis=1, count=e).view(bool) & (pointer[s:e, None] != pointer[None, :e])
         r, c = np.nonzero(across)
         if len(r):

@@ -176,8 +176,9 @@ def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray,
             member = np.arange(start[g], stop[end - 1]) if few else np.concatenate([np.arange(start[g + c], stop[g + c]) for c in cols])
             which = np.repeat(cols, stop[g + cols] - start[g + cols])
             row_group = np.repeat(np.arange(h - g), stop[g:h] - start[g:h])
-            for s in range(start[g], stop[h - 1], ROWS):
-                e = min(s + ROWS, stop[h - 1])
+            tile = V.tile_rows(len(member), ROWS)
+            for s in range(start[g], stop[h - 1], tile):
+                e = min(s + tile, stop[h - 1])
                 cos = unit[s:e] @ unit[member].T
                 r, c = np.nonzero(cos >= cosine)
                 if len(r):

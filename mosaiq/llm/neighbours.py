@@ -20,7 +20,6 @@ MIN_COSINE = 0.90
 PROBES = 5
 SIGMA = 3.0
 COLUMNS = 16
-ROWS = 512
 MANY = 48
 
 
@@ -34,8 +33,9 @@ def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: fl
     head = np.ascontiguousarray(unit[:, :columns])
     length = (head * head).sum(1)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for s in range(0, size, ROWS):
-        e = min(s + ROWS, size)
+    tile = V.tile_rows(size)
+    for s in range(0, size, tile):
+        e = min(s + tile, size)
         # |x|^2 + |y|^2 - 2xy <= limit  <=>  xy - |y|^2/2 >= (|x|^2 - limit)/2
         near = head[s:e] @ head.T
         near -= length / 2
@@ -93,7 +93,7 @@ def most_similar(posts: DataFrame, key: str = "point_id", vector: str = "image_v
     Ties go to the lesser id. Points without a comparable vector, null ids and repeated rows give nothing of their own;
     copies of one vector are each other's neighbours with cosine 1.
     """
-    packed = V.packed_points(posts, key, vector)
+    packed = V.packed_points(posts, key, vector, width=3)
     vectors = V.distinct_vectors(packed)
 
     def work(ids: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:

@@ -1,7 +1,8 @@
 """Vectors in blocks of neighbours, shared by clustering, near-duplicate and neighbour operators.
 
 A vector is comparable if it has the right length, is finite and not all zero. It is turned by a fixed random rotation,
-scaled to its largest coordinate and kept as 16-bit integers: half the bytes to shuffle, cosines off by some 1e-6.
+scaled to its largest coordinate and kept as 16- or 24-bit integers: half or three quarters of the bytes to shuffle,
+cosines off by some 1e-6 or 1e-8.
 Records with the same packed vector are copies; one row stands for them.
 
 Blocks come from pivots, a bounded sample of the vectors themselves: each vector joins the blocks of its `probes` nearest
@@ -25,7 +26,8 @@ DIM = 64
 ROTATION_SEED = 20_240_117
 ROWS_PER_PIVOT = 512
 MOST_PIVOTS = 16_384  # 2 MB packed
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 50_000
+TILE = 1 << 23  # numbers of a similarity matrix held at once
 PART_BITS = 12
 
 
@@ -48,14 +50,15 @@ def comparable(column: pa.Array, dim: int = DIM) -> tuple[np.ndarray, np.ndarray
     return rows, found / np.linalg.norm(found, axis=1)[:, None]
 
 
-def pack(unit: np.ndarray) -> np.ndarray:
-    """Rotated rows as 16-bit integers."""
+def pack(unit: np.ndarray, width: int = 2) -> np.ndarray:
+    """Rotated rows as bytes: integers of `width` (2 or 3) bytes, little end first."""
     turned = unit @ rotation(unit.shape[1])
-    return np.rint(turned * (32_767 / np.abs(turned).max(1, keepdims=True))).astype("<i2")
+    whole = np.rint(turned * (((1 << (8 * width - 1)) - 1) / np.abs(turned).max(1, keepdims=True))).astype("<i4")
+    return np.ascontiguousarray(whole.view(np.uint8).reshape(*whole.shape, 4)[:, :, :width]).reshape(len(whole), -1)
 
 
 def as_binary(packed: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1] * 2), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))]).cast(pa.binary())
 
 
 def unpack(column: pa.Array, dim: int = DIM) -> np.ndarray:
@@ -65,13 +68,16 @@ def unpack(column: pa.Array, dim: int = DIM) -> np.ndarray:
     if not len(column):
         return np.empty((0, dim), np.float32)
     start = column.offset
-    offsets = np.frombuffer(column.buffers()[1], "<i4")[start : start + 2]
-    raw = np.frombuffer(column.buffers()[2], "<i2", count=len(column) * dim, offset=int(offsets[0])).reshape(-1, dim)
-    found = raw.astype(np.float32)
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[start : start + 2].tolist()
+    width = (offsets[1] - offsets[0]) // dim
+    raw = np.frombuffer(column.buffers()[2], np.uint8, count=len(column) * dim * width, offset=offsets[0]).reshape(-1, dim, width)
+    whole = np.zeros((len(column), dim, 4), np.uint8)
+    whole[:, :, 4 - width :] = raw  # the scale doesn't matter
+    found = whole.view("<i4")[:, :, 0].astype(np.float64)
+    return (found / np.linalg.norm(found, axis=1, keepdims=True)).astype(np.float32)
 
 
-def packed_points(df: DataFrame, key: str = "point_id", vector: str = "image_vec", dim: int = DIM) -> DataFrame:
+def packed_points(df: DataFrame, key: str = "point_id", vector: str = "image_vec", dim: int = DIM, width: int = 2) -> DataFrame:
     """(id, vec) of the rows with a key and a comparable vector; equal rows of a batch are folded."""
     source = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
 
@@ -79,9 +85,9 @@ def packed_points(df: DataFrame, key: str = "point_id", vector: str = "image_vec
         for batch in batches:
             rows, unit = comparable(batch.column(1), dim)
             if len(rows):
-                ids, small = batch.column(0).to_numpy()[rows], pack(unit)
-                both = np.concatenate([ids[:, None].view("<i2").reshape(len(ids), 4), small], axis=1)
-                _, first = np.unique(np.ascontiguousarray(both).view(f"V{2 * dim + 8}").ravel(), return_index=True)
+                ids, small = batch.column(0).to_numpy()[rows], pack(unit, width)
+                both = np.concatenate([ids.view(np.uint8).reshape(len(ids), 8), small], axis=1)
+                _, first = np.unique(np.ascontiguousarray(both).view(f"V{both.shape[1]}").ravel(), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first]), as_binary(small[first])], names=["id", "vec"])
 
     return source.mapInArrow(run, "id long, vec binary")
@@ -147,6 +153,11 @@ def in_blocks(vectors: DataFrame, probes: int, dim: int = DIM) -> DataFrame:
     return vectors.select("rep", "vec").mapInArrow(run, "block long, id long, vec binary")
 
 
+def tile_rows(size: int, most: int = 512) -> int:
+    """Rows of a `size`-column matrix to take at once."""
+    return max(1, min(most, TILE // max(size, 1)))
+
+
 def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[object, pa.Table]]:
     """Runs of equal keys in sorted batches, each as one table."""
     held: list[pa.RecordBatch] = []

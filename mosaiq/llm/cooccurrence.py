@@ -143,9 +143,9 @@ def pair_counts(posts: DataFrame, ids: dict[str, int], record: str = "point_id",
 
 def items_together(posts: DataFrame, record: str = "point_id", packed: str = "tags", min_together: int = MIN_TOGETHER, min_share: int = MIN_SHARE, min_lift: float = MIN_LIFT) -> DataFrame:
     """term_a, term_b, n_ab, n_a, n_b, lift of every pair, term_a < term_b in code point order, with n_ab >=
-    min_together, min_share * n_ab >= n and n_ab * n >= min_lift * n_a * n_b. No pairs give an empty result.
+    min_together, min_share * n_ab >= n and n_ab * n >= min_lift * n_a * n_b. Rows without a record id count nowhere; no pairs give an empty result.
     """
-    spark = posts.sparkSession
+    spark, posts = posts.sparkSession, posts.where(F.col(record).isNotNull())
     n = count_points(posts, record)
     least = max(min_together, -(-n // min_share))
     frequent = term_frequencies(term_pairs(posts, record, packed, None)).where(F.col("n_points") >= least).select("term", "n_points").collect()

@@ -10,6 +10,7 @@ from mosaiq import api
 from mosaiq.operators.density import DensityParams, all_loose, cluster_summary, rank_clusters
 from mosaiq.operators.store import PointStore
 from mosaiq.runtime import build_session
+from mosaiq.serve import server
 from mosaiq.streaming.ingest import Ingest
 
 
@@ -41,6 +42,9 @@ def parser() -> argparse.ArgumentParser:
     cluster.add_argument("--top", type=int, default=10)
     stats = add("stats")
     stats.add_argument("--width", type=int, default=48)
+    front = add("serve")
+    front.add_argument("--host", default="0.0.0.0")
+    front.add_argument("--port", type=int, default=3000)
     contract = add("contract")
     contract.add_argument("action", choices=("export", "check"))
     contract.add_argument("snapshot")
@@ -73,6 +77,8 @@ def run(argv: list[str] | None = None) -> int:
         rank_clusters(summary, args.top).show(args.top, False)
         if all_loose(summary).first()[0]:
             print("all clusters are loose; consider another minimum size")
+    elif args.command == "serve":
+        server(engine, args.host, args.port).serve_forever()
     elif args.command == "stats":
         engine.stats(args.width).orderBy("rank").show(100, False)
     else:

@@ -157,14 +157,22 @@ def batch_knn(queries: DataFrame, points: DataFrame, k: int, key: str = "point_i
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
-def quantize_int8(vector: Column) -> Column:
-    """struct(scale, codes): 8-bit codes of a vector, scaled to its largest coordinate; null for a null vector."""
-    peak = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
-    codes = F.transform(vector, lambda x: F.round(x.cast("double") * 127 / peak).try_cast("tinyint"))
-    return F.when(vector.isNotNull(), F.struct((peak / 127).alias("scale"), F.when(peak > 0, codes).otherwise(F.transform(vector, lambda x: F.lit(0).cast("tinyint"))).alias("codes")))
+def quantize_int8(vector: Column, dim: int = 64) -> Column:
+    """array<tinyint>: the vector scaled to its largest coordinate and rounded to 8 bits; null if it isn't comparable."""
+
+    @arrow_udf("array<tinyint>")
+    def quantize(vectors: pa.Array) -> pa.Array:
+        rows, unit = _matrix(vectors, dim)
+        codes = np.rint(unit * (127 / np.abs(unit).max(1, keepdims=True, initial=1e-300))).astype(np.int8)
+        missing = np.ones(len(vectors), bool)
+        missing[rows] = False
+        offsets = np.concatenate([[0], np.cumsum(~missing) * dim]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()), mask=pa.array(missing))
+
+    return quantize(vector)
 
 
 def search_quantized(points: DataFrame, query: Sequence[float], limit: int, over_fetch: int = 3) -> DataFrame:
     """Two-stage search: the over_fetch * limit best by 8-bit codes (`code`), rescored on `image_vec`."""
-    coarse = points.withColumn("__coarse", cosine_to(query, F.col("code.codes"))).where(F.col("__coarse").isNotNull())
+    coarse = points.withColumn("__coarse", cosine_to(query, F.col("code"))).where(F.col("__coarse").isNotNull())
     return search(coarse.orderBy(F.desc("__coarse"), "point_id").limit(limit * over_fetch).drop("__coarse", "code"), query, limit)

@@ -89,9 +89,8 @@ def batch_knn(spark, sf):
 
 
 def quantized_search(spark, sf):
-    query = _query_vector(spark, sf)
-    fit = points(spark, sf).withColumn("fit", vector.cosine_to(query, F.col("image_vec"))).where(F.col("fit").isNotNull()).drop("fit")
-    return _scored(vector.search_quantized(fit.withColumn("code", vector.quantize_int8(F.col("image_vec"))), query, K))
+    coded = points(spark, sf).withColumn("code", vector.quantize_int8(F.col("image_vec")))
+    return _scored(vector.search_quantized(coded, _query_vector(spark, sf), K))
 
 
 def post_lookup(spark, sf):

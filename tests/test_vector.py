@@ -58,6 +58,6 @@ def test_guards_and_blend(spark):
 
 def test_quantized_search_finds_the_same(points):
     df, _ = points
-    coded = df.where("post_id < 60").withColumn("code", V.quantize_int8(F.col("image_vec")))
+    coded = df.where("post_id < 60").withColumn("code", V.quantize_int8(F.col("image_vec"), 8))
     q = [1.0, 2, 3, 4, 0, 0, 0, -1]
     assert [r.point_id for r in V.search_quantized(coded, q, 5).collect()] == [r.point_id for r in V.search(df, q, 5).collect()]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,26 @@ def build_session(app: str = "mosaiq", master: str | None = None, **conf: str) -
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    return b.config(map=base | conf).getOrCreate()
+    spark = b.config(map=base | conf).getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in all Python workers, wherever they run; once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_mosaiq_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="mosaiq-"), "mosaiq_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)  # served to executors by the driver
+    sc._mosaiq_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -40,6 +61,7 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

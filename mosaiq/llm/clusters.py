@@ -21,7 +21,7 @@ from mosaiq.runtime import cut_lineage
 
 MIN_COSINE = 0.86
 MIN_POINTS = 8
-PROBES = 6
+PROBES = 7
 
 
 def block_groups(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from mosaiq.runtime import cut_lineage
 
 DIM = 64
 ROTATION_SEED = 20_240_117
-ROWS_PER_PIVOT = 512
+ROWS_PER_PIVOT = 1024
 MOST_PIVOTS = 16_384  # 2 MB packed
 BLOCK_ROWS = 50_000
 TILE = 1 << 23  # numbers of a similarity matrix held at once
@@ -106,9 +106,9 @@ def copies_of(points: DataFrame, vectors: DataFrame) -> DataFrame | None:
     return cut_lineage(points.join(shared, "vec").select("id", "rep").distinct())
 
 
-def sample_pivots(vectors: DataFrame, rows: int, dim: int = DIM) -> np.ndarray:
-    """About one pivot per ROWS_PER_PIVOT vectors, at most MOST_PIVOTS, the same on every run."""
-    count = int(min(MOST_PIVOTS, max(1, rows // ROWS_PER_PIVOT)))
+def sample_pivots(vectors: DataFrame, rows: int, dim: int = DIM, rows_per_pivot: int = ROWS_PER_PIVOT) -> np.ndarray:
+    """About one pivot per rows_per_pivot vectors, at most MOST_PIVOTS, the same on every run."""
+    count = int(min(MOST_PIVOTS, max(1, rows // rows_per_pivot)))
     found = vectors.select("vec", "rep").orderBy(F.xxhash64("rep"), "rep").limit(count).select("vec").toArrow()
     return unpack(found.column(0), dim)
 
@@ -123,10 +123,10 @@ def nearest_pivots(unit: np.ndarray, pivots: np.ndarray, probes: int) -> np.ndar
     return out
 
 
-def in_blocks(vectors: DataFrame, probes: int, dim: int = DIM) -> DataFrame:
+def in_blocks(vectors: DataFrame, probes: int, dim: int = DIM, rows_per_pivot: int = ROWS_PER_PIVOT) -> DataFrame:
     """(block, id, vec): each distinct vector once for each of its blocks."""
     rows = vectors.count()
-    pivots = sample_pivots(vectors, rows, dim)
+    pivots = sample_pivots(vectors, rows, dim, rows_per_pivot)
     if not len(pivots):
         return vectors.select(F.lit(0).cast("long").alias("block"), F.col("rep").alias("id"), "vec").limit(0)
     load = np.bincount(nearest_pivots(pivots, pivots, probes).ravel(), minlength=len(pivots)) * (rows / len(pivots))

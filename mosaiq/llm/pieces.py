@@ -25,6 +25,7 @@ OVERLAP = 32
 WORD_TOKENS = 16
 
 _LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
+_LINE_GAP = re.compile(f"[\n\r\x0b\x0c\x85\u2028\u2029][{T.SPACE}]*")
 #: fixed pattern: start and end time of a cue in the three formats, as srt, vtt or sbv write it
 _TIMING = re.compile(r"\s*(?:\d+:)?\d+:\d+[.,]\d+\s*(?:-->|,)\s*(?:\d+:)?\d+:\d+[.,]\d+")
 _NUMBER = re.compile(r"\s*\d+\s*$")
@@ -33,7 +34,7 @@ _NUMBER = re.compile(r"\s*\d+\s*$")
 def atoms(text: str, table: T._Table) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Character starts (with the end), token counts and texts of the smallest units: pre-tokens, long ones in parts."""
     pieces = T.pretokens(text)
-    counts = np.fromiter((len(table[p]) for p in pieces), np.int64, len(pieces)) // 4
+    counts = np.fromiter(map(len, map(table.__getitem__, pieces)), np.int64, len(pieces)) // 4
     if len(counts) and counts.max() > WORD_TOKENS:
         tokens = table.merges.tokens
         out: list[str] = []
@@ -58,23 +59,15 @@ def atoms(text: str, table: T._Table) -> tuple[np.ndarray, np.ndarray, list[str]
     return starts, counts, pieces
 
 
-def structure(text: str, starts: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def structure(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the atoms at which cues and lines start (0 is among both)."""
-    cues, lines = [0], [0]
-    k, count = 0, len(pieces)
-    while k < count:
-        if not T.is_space(pieces[k]):
-            k += 1
-            continue
-        first = k
-        while k < count and T.is_space(pieces[k]):
-            k += 1
-        ends = len(_LINE_END.findall("".join(pieces[first:k])))
-        if ends and k < count:
-            lines.append(k)
-            if ends > 1:
-                cues.append(k)
-    blank = set(cues)
+    gaps = [(m.end(), m.group()) for m in _LINE_GAP.finditer(text)]
+    if gaps and gaps[-1][0] == len(text):
+        gaps.pop()
+    # the atom that holds the first character of the line, or the space before it
+    heads = (np.searchsorted(starts, [end for end, _ in gaps], side="right") - 1).tolist()
+    lines = [0, *heads]
+    blank = {0, *(k for k, (_, gap) in zip(heads, gaps) if len(gap) > 1 and len(_LINE_END.findall(gap)) > 1)}
     stop = [*starts[lines[1:]].tolist(), int(starts[-1])]
     for n, (k, end) in enumerate(zip(lines, stop)):
         if _TIMING.match(text, int(starts[k]), end):
@@ -116,7 +109,7 @@ def cut_text(text: str, table: T._Table, limit: int = LIMIT, overlap: int = OVER
     cum = np.concatenate([[0], np.cumsum(counts)])
     if cum[-1] <= limit:
         return [(0, 0, len(text), int(cum[-1]))]
-    cues, lines = structure(text, starts, pieces)
+    cues, lines = structure(text, starts)
     room = max(limit - 2 * overlap - WORD_TOKENS, 1)
     out = []
     for a, b in pack(0, len(pieces), 0, cum, [cues, lines], room):

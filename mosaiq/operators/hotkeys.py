@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mosaiq.runtime import cut_lineage
+
 
 def per_key(df: DataFrame, key: Column, item: Column, measure: Column) -> DataFrame:
     """One row per key: n_rows, n_items (distinct, nulls don't count), first_value and last_value of measure.
@@ -26,7 +28,8 @@ def per_key(df: DataFrame, key: Column, item: Column, measure: Column) -> DataFr
 def heavy_keys(summary: DataFrame, share: float) -> DataFrame:
     """Rows of per_key() whose key isn't null and holds at least `share` of all rows, null keys counting in the total.
 
-    The total comes from the summary, one row per key, not from the data.
+    The total comes from the summary, one row per key, which is kept so that the data are read once.
     """
+    summary = cut_lineage(summary)
     total = summary.agg(F.sum("n_rows")).first()[0] or 0
     return summary.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total)))

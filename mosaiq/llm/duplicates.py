@@ -180,7 +180,7 @@ def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray,
             for s in range(start[g], stop[h - 1], tile):
                 e = min(s + tile, stop[h - 1])
                 cos = unit[s:e] @ unit[member].T
-                r, c = np.nonzero(cos >= cosine)
+                r, c = V.places(cos >= cosine)
                 if len(r):
                     good = fits[row_group[r + s - start[g]], which[c]] & (ids[s + r] != ids[member[c]])
                     found.append((s + r[good], member[c[good]]))

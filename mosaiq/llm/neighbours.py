@@ -32,16 +32,17 @@ def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: fl
     limit = lambda d: bound * d / dim * (1 + sigma / np.sqrt(d)) ** 2 if d < dim else bound
     head = np.ascontiguousarray(unit[:, :columns])
     length = (head * head).sum(1)
+    # |x|^2 + |y|^2 - 2xy <= limit as one product of rows with two columns more: xy - |y|^2/2 - (|x|^2 - limit)/2 >= 0
+    one = np.ones(size, np.float32)
+    left = np.column_stack([head, one, (min(limit(columns), bound) - length) / 2]).astype(np.float32)
+    right = np.ascontiguousarray(np.column_stack([head, -length / 2, one]).astype(np.float32).T)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     tile = V.tile_rows(size)
     for s in range(0, size, tile):
         e = min(s + tile, size)
-        # |x|^2 + |y|^2 - 2xy <= limit  <=>  xy - |y|^2/2 >= (|x|^2 - limit)/2
-        near = head[s:e] @ head.T
-        near -= length / 2
-        kept = near >= (length[s:e, None] - min(limit(columns), bound)) / 2
+        kept = left[s:e] @ right >= 0
         kept[np.arange(e - s), np.arange(s, e)] = False
-        count = kept.sum(1)
+        count = np.count_nonzero(kept, axis=1)
         many = np.nonzero(count > MANY)[0]
         if len(many):
             into = np.nonzero(kept[many].any(0))[0]
@@ -52,10 +53,10 @@ def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: fl
                 edge = np.partition(cos, len(into) - k, axis=1)[:, len(into) - k]
             else:
                 edge = np.full(len(many), -1.0, cos.dtype)
-            r, c = np.nonzero(cos >= np.maximum(edge, np.float32(least))[:, None])
+            r, c = V.places(cos >= np.maximum(edge, np.float32(least))[:, None])
             out.append((s + many[r], into[c], cos[r, c]))
             kept[many] = False
-        r, c = np.nonzero(kept)
+        r, c = V.places(kept)
         if len(r):
             r = r + s
             done, partial = columns, np.zeros(len(r), np.float32)

@@ -158,6 +158,11 @@ def tile_rows(size: int, most: int = 512) -> int:
     return max(1, min(most, TILE // max(size, 1)))
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the true entries; faster than nonzero() of two dimensions."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[object, pa.Table]]:
     """Runs of equal keys in sorted batches, each as one table."""
     held: list[pa.RecordBatch] = []

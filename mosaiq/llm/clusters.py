@@ -28,9 +28,12 @@ def block_groups(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.nd
     """(id, group, density) of the vectors of one block that have a link; group is the least id of the group."""
     first = np.concatenate([[True], ids[1:] != ids[:-1]])
     ids, unit = ids[first], unit[first]
-    near, tile = np.empty(len(ids), np.int64), V.tile_rows(len(ids))
-    for s in range(0, len(ids), tile):
-        near[s : s + tile] = (unit[s : s + tile] @ unit.T >= least).sum(1)
+    near, tile = np.zeros(len(ids), np.int64), V.tile_rows(len(ids))
+    for s in range(0, len(ids), tile):  # each pair once: rows with themselves and with those after them
+        e = min(s + tile, len(ids))
+        close = unit[s:e] @ unit[s:].T >= least
+        near[s:e] += np.count_nonzero(close, axis=1)
+        near[e:] += np.count_nonzero(close[:, e - s :], axis=0)
     linked = np.nonzero(near > 1)[0]  # each is near itself
     if not len(linked):
         return ids[:0], ids[:0], near[:0]
@@ -55,7 +58,7 @@ def block_groups(ids: np.ndarray, unit: np.ndarray, least: float) -> tuple[np.nd
     for k, bits in enumerate(rows):
         s, e = k * tile, min((k + 1) * tile, size)
         across = np.unpackbits(bits, axis=1, count=e).view(bool) & (pointer[s:e, None] != pointer[None, :e])
-        r, c = np.nonzero(across)
+        r, c = V.places(across)
         if len(r):
             touching.append(np.unique(pointer[s:e][r] * size + pointer[c]))
     group = np.arange(size)

@@ -108,6 +108,15 @@ units AS (SELECT point_id, list_transform(v, lambda x: x / sqrt(list_inner_produ
 """
 
 
+_NEAR_DUPLICATES = f"""
+{_units('post_embeddings')}, {TERMS_SQL},
+sets AS (SELECT point_id, list_sort(list(DISTINCT term)) AS t FROM terms GROUP BY 1),
+u AS (SELECT point_id, v, t FROM units JOIN sets USING (point_id)),
+near AS (SELECT a.point_id AS point_a, b.point_id AS point_b, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS s
+  FROM u a JOIN u b ON a.point_id < b.point_id AND list_inner_product(a.v, b.v) >= 0.965),
+pairs AS (SELECT point_a, point_b FROM near WHERE k > 0 AND k >= 0.5 * (s - k))
+"""
+
 ORACLES = {
     "p1_found": _COUNTED + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _COUNTED + "SELECT * FROM marked",
@@ -119,16 +128,20 @@ links AS (SELECT a.point_id AS a, b.point_id AS b FROM units a JOIN units b ON l
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 labelled AS (SELECT a AS point_id, min(b) AS cluster_key FROM reach GROUP BY a)
 SELECT cluster_key, point_id FROM labelled WHERE cluster_key IN (SELECT cluster_key FROM labelled GROUP BY 1 HAVING count(*) >= 8)""",
+    "p5_groups": f"""
+WITH RECURSIVE {_NEAR_DUPLICATES},
+links AS (SELECT point_a AS a, point_b AS b FROM pairs UNION ALL SELECT point_b, point_a FROM pairs),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+grouped AS (SELECT a, min(b) AS g FROM reach GROUP BY a)
+SELECT a AS point_id, least(a, g) AS group_id, n_links FROM grouped JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) USING (a)""",
+    "p6_similar": f"""
+WITH {_units('post_embeddings')},
+near AS (SELECT a.point_id AS point, b.point_id AS other, list_inner_product(a.v, b.v) AS c FROM units a JOIN units b ON a.point_id <> b.point_id AND list_inner_product(a.v, b.v) >= 0.9)
+SELECT point, other, round(c, 4) AS cosine, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY c DESC, other) AS r FROM near) WHERE r <= 5""",
     "p6_found": f"""
 WITH {_units('post_embeddings')},
 near AS (SELECT a.point_id AS a, b.point_id AS b, row_number() OVER (PARTITION BY a.point_id ORDER BY list_inner_product(a.v, b.v) DESC, b.point_id) AS r
   FROM units a JOIN units b ON a.point_id <> b.point_id AND list_inner_product(a.v, b.v) >= 0.9)
 SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM near WHERE r <= 5""",
-    "p5_found": f"""
-WITH {_units('post_embeddings')}, {TERMS_SQL},
-sets AS (SELECT point_id, list_sort(list(DISTINCT term)) AS t FROM terms GROUP BY 1),
-u AS (SELECT point_id, v, t FROM units JOIN sets USING (point_id)),
-near AS (SELECT a.point_id AS point_a, b.point_id AS point_b, len(list_intersect(a.t, b.t)) AS k, len(a.t) + len(b.t) AS s
-  FROM u a JOIN u b ON a.point_id < b.point_id AND list_inner_product(a.v, b.v) >= 0.965)
-SELECT point_a, point_b FROM near WHERE k > 0 AND k >= 0.5 * (s - k)""",
+    "p5_found": f"WITH {_NEAR_DUPLICATES} SELECT point_a, point_b FROM pairs",
 }

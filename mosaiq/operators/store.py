@@ -1,7 +1,7 @@
 """The points table: Parquet, partitioned by site namespace, one row per point.
 
-An upsert rewrites only the partitions that the batch touches. They are written beside the table, under a new version
-number, and become visible by one atomic rename of a manifest; a lost executor or driver leaves the old version whole.
+What an upsert writes becomes visible by one atomic rename of a manifest; a lost executor or driver leaves the old state
+whole.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaiq.functions.columns import shown_image
-from mosaiq.runtime import read_text, replace_text
+from mosaiq.runtime import read_text, replace_text, ship_package
 
 MANIFEST = "_current.json"
+ORDER = "batch_order"
+COMPACT_AFTER = 8
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -33,41 +35,66 @@ def latest_by_aggregate(rows: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 class PointStore:
-    """upsert(), points() and lookups over one table. The folder is on storage that all executors share."""
+    """upsert(), points() and lookups over one table. The folder is on storage that all executors share.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    The manifest names, for each site namespace, a base and the deltas after it. An upsert only adds a delta of the
+    batch's own rows; a reader resolves the last row per point where there are deltas. After COMPACT_AFTER deltas a
+    namespace is written anew as one base, so a batch rewrites old rows once in that many times.
+    """
 
-    def _manifest(self) -> dict[str, str]:
+    def __init__(self, spark: SparkSession, folder: str, compact_after: int = COMPACT_AFTER):
+        self.spark, self.folder, self.compact_after = spark, folder, compact_after
+        ship_package(spark)
+
+    def _manifest(self) -> dict[str, list[str]]:
         return json.loads(read_text(self.spark, f"{self.folder}/{MANIFEST}") or "{}")
 
-    def _commit(self, manifest: dict[str, str]) -> None:
+    def _commit(self, manifest: dict[str, list[str]]) -> None:
         replace_text(self.spark, f"{self.folder}/{MANIFEST}", json.dumps(manifest, sort_keys=True, indent=1))
 
+    def _resolved(self, chains: list[list[str]]) -> DataFrame:
+        """Last row per point over bases and their deltas; `order` first, then the later delta."""
+        rows = None
+        for step in range(max(map(len, chains))):
+            paths = [f"{self.folder}/{c[step]}" for c in chains if len(c) > step]
+            part = self.spark.read.parquet(*paths).withColumn("__step", F.lit(step))
+            rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+        return latest_by_aggregate(rows, "point_id", F.struct(F.coalesce(F.col(ORDER), F.lit(-1)), "__step")).drop("__step")
+
     def points(self) -> DataFrame | None:
         """All current points; None before the first upsert."""
-        paths = [f"{self.folder}/{p}" for p in sorted(self._manifest().values())]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def upsert(self, batch: DataFrame, order: str = "batch_order") -> int:
-        """Adds or replaces points by point_id; of rows with equal ids the one with the greatest `order` stays.
-
-        Returns the number of partitions rewritten; an empty batch is no operation.
+        manifest = self._manifest()
+        plain = [f"{self.folder}/{c[0]}" for _, c in sorted(manifest.items()) if len(c) == 1]
+        found = [self.spark.read.parquet(*plain)] if plain else []
+        chains = [c for c in manifest.values() if len(c) > 1]
+        found += [self._resolved(chains)] if chains else []
+        if not found:
+            return None
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
+
+    def _write(self, rows: DataFrame) -> str:
+        version = f"v={uuid.uuid4().hex}"
+        spread = rows.withColumn("part", F.col("site_namespace")).repartition("part", F.pmod(F.xxhash64("point_id"), F.lit(16)))
+        spread.sortWithinPartitions("ingestion_date").write.partitionBy("part").option("parquet.bloom.filter.enabled#post_id", "true").parquet(f"{self.folder}/{version}")
+        return version
+
+    def upsert(self, batch: DataFrame) -> int:
+        """Adds or replaces points by point_id; of rows with equal ids the one with the greatest `batch_order` stays.
+
+        Returns the number of namespaces touched; an empty batch is no operation.
         """
-        rows = batch.where(F.col("point_id").isNotNull())
+        rows = batch.where(F.col("point_id").isNotNull() & F.col("site_namespace").isNotNull())
         touched = [str(r[0]) for r in rows.select("site_namespace").distinct().collect()]  # one a site
         if not touched:
             return 0
         manifest = self._manifest()
-        old = [f"{self.folder}/{manifest[n]}" for n in touched if n in manifest]
-        if old:
-            rows = rows.unionByName(self.spark.read.parquet(*old), allowMissingColumns=True)
-        merged = latest_by_aggregate(rows, "point_id", F.coalesce(F.col(order), F.lit(-1)))
-        version = uuid.uuid4().hex
-        merged.withColumn("part", F.col("site_namespace")).repartition("part", F.pmod(F.xxhash64("point_id"), F.lit(16))).sortWithinPartitions("ingestion_date").write.partitionBy("part").option(
-            "parquet.bloom.filter.enabled#post_id", "true"
-        ).parquet(f"{self.folder}/v={version}")
-        self._commit(manifest | {n: f"v={version}/part={n}" for n in touched})
+        version = self._write(latest_by_aggregate(rows, "point_id", F.coalesce(F.col(ORDER), F.lit(-1))))
+        manifest |= {n: [*manifest.get(n, []), f"{version}/part={n}"] for n in touched}
+        self._commit(manifest)
+        full = [n for n in touched if len(manifest[n]) > self.compact_after]
+        if full:
+            version = self._write(self._resolved([manifest[n] for n in full]))
+            self._commit(manifest | {n: [f"{version}/part={n}"] for n in full})
         return len(touched)
 
 

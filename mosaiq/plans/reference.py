@@ -279,7 +279,7 @@ def streaming_ingest(spark, sf):
     folder = scratch_folder(spark, "ingest")
     table(spark, sf, "raw_posts").write.parquet(f"{folder}/landing")
     kept = store.PointStore(spark, f"{folder}/points")
-    ingest.Ingest(spark, kept, f"{folder}/marks.json", clock=lambda: NOW).stream(f"{folder}/landing", f"{folder}/state").awaitTermination()
+    ingest.Ingest(spark, kept, f"{folder}/marks.json", clock=lambda: NOW).stream(f"{folder}/landing", f"{folder}/state", 10_000).awaitTermination()  # one batch
     found = kept.points()
     return found.select("point_id", "post_id", "site", "site_namespace", "post_url", "thumbnail_url", "direct_image_url", "tags", "width", "height", "ingestion_date", "rating")
 
@@ -395,6 +395,7 @@ query AS (SELECT list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))
     "batch_knn": f"""WITH {UNITS},
 near AS (SELECT a.point_id, b.point_id AS neighbour, list_inner_product(a.u, b.u) AS c FROM units a JOIN units b ON a.point_id <> b.point_id WHERE a.point_id % 100 = 0)
 SELECT point_id, CAST(r AS INTEGER) AS rank, neighbour, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY c DESC, neighbour) AS r FROM near) WHERE r <= 5""",
+    "quantized_search": f"WITH {UNITS}, {_QUERY} " + _ranked("true", "(SELECT q FROM query)"),
     "post_lookup": f"WITH {UNITS}, {_PROBE} SELECT {_RESULT} FROM probe",
     "recent_page": f"WITH {POINTS} SELECT point_id, site, ingestion_date FROM pts ORDER BY ingestion_date DESC, point_id LIMIT 21 OFFSET 40",
     "recent_page_sites": f"WITH {POINTS} SELECT point_id, site, ingestion_date FROM pts WHERE site IN ({_SITE_LIST}) ORDER BY ingestion_date DESC, point_id LIMIT 21",
@@ -431,6 +432,9 @@ SELECT (SELECT count(*) FROM m) > 0 AS is_running, (SELECT string_agg(DISTINCT s
 s AS (SELECT site, count(*) FILTER (event_type = 'CycleComplete') AS cycles, count(*) FILTER (event_type = 'CycleFailed') AS failures, CAST(coalesce(sum(fetched) FILTER (event_type = 'CycleComplete'), 0) AS BIGINT) AS fetched,
   CAST(coalesce(sum(upserted) FILTER (event_type = 'CycleComplete'), 0) AS BIGINT) AS upserted, coalesce(sum(elapsed_secs) FILTER (event_type = 'CycleComplete'), 0) AS secs FROM e GROUP BY 1)
 SELECT site, cycles, failures, fetched, upserted, fetched - upserted AS skipped, CASE WHEN upserted > 0 AND secs > 0 THEN round(upserted / secs, 6) ELSE 0 END AS posts_per_second, CASE WHEN upserted > 0 AND secs > 0 THEN round(secs / upserted, 6) ELSE 0 END AS seconds_per_post FROM s""",
+    "streaming_ingest": f"""WITH {POSTS}, fit AS (SELECT *, row_number() OVER (PARTITION BY site, post_id ORDER BY raw_id DESC) AS n FROM posts WHERE {_FIT})
+SELECT r.site_namespace * 1000000000000 + post_id AS point_id, post_id, site, r.site_namespace, coalesce(canonical_post_url, replace({_PAGE}, '{{id}}', CAST(post_id AS VARCHAR))) AS post_url, thumbnail_url,
+  coalesce(direct_image_url, thumbnail_url) AS direct_image_url, tags, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST({NOW} AS BIGINT) AS ingestion_date, rating FROM fit JOIN site_registry r USING (site) WHERE n = 1""",
     "daily_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM ingest_log WHERE ts IS NOT NULL GROUP BY 1, 2",
     "upsert_latest": f"WITH {POINTS} SELECT point_id, row_id, tags, rating, width, height FROM pts",
     "exact_knn": f"WITH {_KNN} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn",

@@ -48,11 +48,24 @@ def test_batches_upsert_and_are_idempotent(spark, tmp_path):
     assert run.run_batch(raw(spark, [])).fetched == 0
 
 
+def test_deltas_and_compaction(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "points"), compact_after=3)
+    want = {}
+    for k in range(9):
+        rows = [(1_000_000 + i, i, "s%d" % (i % 2), i % 2, 10 - abs(4 - k) if i == 3 else k, f"v{k}", k) for i in range(k, k + 4)] + [(None, 1, "s", 1, k, "x", k)]
+        store.upsert(spark.createDataFrame(rows, "point_id long, post_id long, site string, site_namespace long, batch_order long, tags string, ingestion_date long"))
+        for p, _, _, _, order, tags, _ in rows[:-1]:
+            if p not in want or order >= want[p][0]:
+                want[p] = (order, tags)
+        assert {r.point_id: (r.batch_order, r.tags) for r in store.points().collect()} == want
+    assert max(map(len, store._manifest().values())) <= 3
+
+
 def test_failed_batch_moves_no_mark(spark, tmp_path):
     store = PointStore(spark, str(tmp_path / "points"))
 
     class Broken(PointStore):
-        def upsert(self, batch, order="batch_order"):
+        def upsert(self, batch):
             raise OSError("disk")
 
     run = Ingest(spark, Broken(spark, store.folder), str(tmp_path / "marks.json"))

@@ -167,7 +167,7 @@ def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray,
     share = jaccard / (1 + jaccard)
     g = 0
     while g < len(start):
-        h = max(int(np.searchsorted(start, start[g] + ROWS)), g + 1)
+        h = max(int(np.searchsorted(start, start[g] + V.tile_rows(len(ids), ROWS))), g + 1)
         end = max(int(np.searchsorted(g_size, g_size[h - 1] / jaccard + 1e-4, side="right")), h)  # larger sets share too little
         fits = np.minimum(left[g:h, None], left[None, g:end]) >= share * (g_size[g:h, None] + g_size[None, g:end]) - 1e-4
         cols = np.nonzero(fits.any(0))[0]

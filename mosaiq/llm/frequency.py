@@ -92,7 +92,7 @@ def term_frequencies(pairs: DataFrame, partitions: int | None = None) -> DataFra
 
 def mark_terms(frequencies: DataFrame, n_points: int, rare: int = RARE_POINTS, common: float = COMMON_SHARE) -> DataFrame:
     """frequencies with mark: 'rare' up to `rare` points, 'common' above the share `common` of n_points, else null."""
-    mark = F.when(F.col("n_points") <= rare, "rare").when(F.col("n_points") > F.lit(common) * F.lit(n_points), "common")
+    mark = F.when(F.col("n_points") <= rare, "rare").when(F.col("n_points") > F.lit(round(common * n_points, 6)), "common")
     return frequencies.withColumn("mark", mark)
 
 

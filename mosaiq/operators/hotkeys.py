@@ -32,4 +32,4 @@ def heavy_keys(summary: DataFrame, share: float) -> DataFrame:
     """
     summary = cut_lineage(summary)
     total = summary.agg(F.sum("n_rows")).first()[0] or 0
-    return summary.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.lit(total)))
+    return summary.where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(round(share * total, 6))))

@@ -10,8 +10,11 @@ whole term sets. A pair is reported only by the list of its first common term, s
 Exact copies (same vector, same terms) form a class: only its representative is joined, and each other copy comes out in
 one pair with a representative, so that a class of a third of all records gives a third as many rows, not its square.
 
-Posting lists of frequent terms are split: records are hashed into parts, and each pair of parts is a list of its own, so
-that one term of a third of all records is compared block by block in many tasks.
+A term of more than LIST_ROWS occurrences would have a list growing with the data. Pairs that must share two terms (all
+but those of the smallest sets) share their first two among one prefix term and the terms after it, up to one beyond the
+prefix; so such a term is replaced by its pairs with those later terms, whose lists are far shorter. Lists that still
+exceed LIST_ROWS, by an exact count, are split: records are hashed into parts, and each pair of parts is a list of its
+own, so that a list of a third of all records is compared block by block in many tasks.
 """
 
 from __future__ import annotations
@@ -26,13 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 from mosaiq.llm import vectors as V
 from mosaiq.operators.components import connected_components
 from mosaiq.operators.packed import segment
+from mosaiq.runtime import cut_lineage
 
 MIN_COSINE = 0.965
 MIN_JACCARD = 0.5
 DICTIONARY = 16_384  # terms whose order is broadcast; more would only order rarer terms better
 LIST_ROWS = 40_000
 ROWS = 512
-PART_BITS = 12
+PAIR_BITS = 14  # DICTIONARY codes
+PAIR = 1 << 40  # added to the numbers of lists of two terms
 CLASSES_KEPT = 50_000  # of a task, to know copies by; a copy not known goes through the join
 
 
@@ -59,17 +64,17 @@ def _hash31(term: str) -> int:
     return (xxhash.xxh32_intdigest(term) & 0x7FFFFFFF) - (1 << 31)
 
 
-def posting_rows(posts: DataFrame, order: list[tuple[str, int]], key: str, packed: str, vector: str, jaccard: float, dim: int) -> DataFrame:
-    """(list, token, id, place, vec, terms): one row for each prefix term of each record with terms and a vector.
+def folded_records(posts: DataFrame, order: list[tuple[str, int]], key: str, packed: str, vector: str, dim: int) -> DataFrame:
+    """(id, vec, terms, first) of each record with terms and a vector; terms are codes in the global order.
 
     All rows of a record are folded into one: its terms are those of any row, its vector the least of the comparable
-    ones. A copy of a record met before by the same task gives just one row, with place -1 and that record's id as list.
+    ones. first is null, or for a copy of a record met before by the same task that record's id.
     """
-    shared = posts.sparkSession.sparkContext.broadcast(({t: k for k, (t, _) in enumerate(order)}, np.array([n for _, n in order], np.int64)))
+    shared = posts.sparkSession.sparkContext.broadcast({t: k for k, (t, _) in enumerate(order)})
     source = posts.select(F.col(key).cast("long").alias("id"), F.col(packed).alias("packed"), F.col(vector).alias("vec")).where(F.col("id").isNotNull())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, _ = shared.value
+        codes = shared.value
         memo: dict[str, int] = {}
         for batch in batches:
             rows, unit = V.comparable(batch.column(2), dim)
@@ -95,8 +100,6 @@ def posting_rows(posts: DataFrame, order: list[tuple[str, int]], key: str, packe
             )
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, counts = shared.value
-        parts_of = np.clip(-(-counts // LIST_ROWS), 1, (1 << PART_BITS) - 1)
         out: list[tuple] = []
         now, terms, vec = None, set(), None
         classes: dict[tuple, int] = {}
@@ -106,20 +109,13 @@ def posting_rows(posts: DataFrame, order: list[tuple[str, int]], key: str, packe
                 whole = sorted(terms)
                 if len(classes) > CLASSES_KEPT:
                     classes.clear()
-                if (first := classes.setdefault((vec, *whole), now)) != now:
-                    out.append((first, 0, now, -1, None, None))
-                    return
-                for place, token in enumerate(whole[: prefix_length(len(whole), jaccard)]):
-                    parts = int(parts_of[token]) if token >= 0 else 1
-                    own = (now * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) % parts
-                    for other in range(parts):
-                        out.append(((token << 2 * PART_BITS) + (min(own, other) << PART_BITS) + max(own, other), token, now, place, vec, whole))
+                first = classes.setdefault((vec, *whole), now)
+                out.append((now, vec, whole, None) if first == now else (now, None, None, first))
 
         def take() -> pa.RecordBatch:
-            columns = list(zip(*out)) if out else [[]] * 6
+            columns = list(zip(*out)) if out else [[]] * 4
             out.clear()
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["list", "token", "id", "place", "vec", "terms"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64()))], names=["id", "vec", "terms", "first"])
 
         for batch in batches:
             for i, t, v in zip(*(c.to_pylist() for c in batch.columns)):
@@ -134,15 +130,73 @@ def posting_rows(posts: DataFrame, order: list[tuple[str, int]], key: str, packe
         yield take()
 
     rows = source.mapInArrow(read, "id long, terms array<int>, vec binary").repartition("id").sortWithinPartitions("id")
-    return rows.mapInArrow(fold, "list long, token int, id long, place int, vec binary, terms array<int>")
+    return rows.mapInArrow(fold, "id long, vec binary, terms array<int>, first long")
+
+
+def lists_of(whole: list[int], frequent: int, jaccard: float) -> list[tuple[int, int]]:
+    """(list, place) of each list that a record of these terms, in order, belongs to.
+
+    Terms from the code `frequent` on have lists of pairs: PAIR + first term << 14 + second term. place is such that
+    size - place terms at most are shared with a record whose first common terms are those of the list.
+    """
+    out, size = [], len(whole)
+    length = prefix_length(size, jaccard)
+    for place, token in enumerate(whole[:length]):
+        if token >= frequent:
+            out += [(PAIR + (token << PAIR_BITS) + second, place + k) for k, second in enumerate(whole[place + 1 : length + 1])]
+        if token < frequent or size <= (1 + jaccard) / jaccard - 1 + 1e-9:  # may share one term only
+            out.append((token, place))
+    return out
+
+
+def posting_rows(records: DataFrame, order: list[tuple[str, int]], jaccard: float) -> DataFrame:
+    """(list, part, id, place, vec, terms): one row for each list (and pair of parts) that a record belongs to."""
+    frequent = next((k for k, (_, n) in enumerate(order) if n > LIST_ROWS), len(order))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for whole in batch.column(0).to_pylist():
+                # a shorter list can't exceed its first term's occurrences
+                seen.update(number for number, _ in lists_of(whole, frequent, jaccard) if number >= frequent)
+            if len(seen) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()))], names=["list", "n"])
+                seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["list", "n"])
+
+    whole = records.where(F.col("first").isNull())
+    long = whole.select("terms").mapInArrow(count, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > LIST_ROWS)
+    # one entry for LIST_ROWS postings at most
+    parts = records.sparkSession.sparkContext.broadcast({r.list: -(-r.n // LIST_ROWS) for r in long.collect()})
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = parts.value
+        for batch in batches:
+            rows, lists, pairs, places = [], [], [], []
+            for r, (i, terms) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                for number, place in lists_of(terms, frequent, jaccard):
+                    times = split.get(number, 1)
+                    own = (i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) % times
+                    for other in range(times):
+                        rows.append(r)
+                        lists.append(number)
+                        pairs.append((min(own, other) << 32) + max(own, other))
+                        places.append(place)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lists, pa.int64()), pa.array(pairs, pa.int64()), batch.column(0).take(take), pa.array(places, pa.int32()), batch.column(1).take(take), batch.column(2).take(take)],
+                names=["list", "part", "id", "place", "vec", "terms"],
+            )
+
+    return whole.select("id", "vec", "terms").mapInArrow(post, "list long, part long, id long, place int, vec binary, terms array<int>")
 
 
 def pack_rows(unit: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in V.pack(unit)] if len(unit) else []
 
 
-def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray, terms: list[np.ndarray], cosine: float, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), a < b, of one posting list: pairs reaching both thresholds whose first common term is this one."""
+def join_list(shared: tuple[int, ...], ids: np.ndarray, place: np.ndarray, unit: np.ndarray, terms: list[np.ndarray], cosine: float, jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b, of one posting list: pairs reaching both thresholds whose first common terms are those of the list."""
     stars: list[tuple[int, int]] = []
     probe = unit[:, 0].copy().view(np.int32)
     if len(np.unique(probe)) < len(probe):  # there may be copies
@@ -151,7 +205,7 @@ def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray,
         for r in np.argsort(ids, kind="stable").tolist():
             if (first := classes.setdefault(unit[r].tobytes() + terms[r].tobytes(), r)) == r:
                 keep.append(r)
-            elif terms[r][0] == token and ids[first] != ids[r]:
+            elif tuple(terms[r][: len(shared)].tolist()) == shared and ids[first] != ids[r]:
                 stars.append((ids[first], ids[r]))
         ids, place, unit, terms = ids[keep], place[keep], unit[keep], [terms[r] for r in keep]
     size = np.array([len(t) for t in terms], np.int32)
@@ -195,7 +249,7 @@ def join_list(token: int, ids: np.ndarray, place: np.ndarray, unit: np.ndarray,
     for code in pairs.tolist():
         x, y = terms[code // len(order)], terms[code % len(order)]
         common = np.intersect1d(x, y, assume_unique=True)
-        if len(common) >= jaccard * (len(x) + len(y) - len(common)) - 1e-9 and common[0] == token:
+        if len(common) >= jaccard * (len(x) + len(y) - len(common)) - 1e-9 and tuple(common[: len(shared)].tolist()) == shared:
             keep.append(code)
     back = np.empty(len(order), ids.dtype)
     back[order] = ids
@@ -213,24 +267,27 @@ def near_duplicates(posts: DataFrame, key: str = "point_id", packed: str = "tags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in V.by_key(batches):
-            copy = rows.column("place").to_numpy() < 0
-            if copy.any():
-                ids = rows.column("id").to_numpy()[copy]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids, number)), pa.array(np.maximum(ids, number))], names=["point_a", "point_b"])
-                rows = rows.filter(pa.array(~copy))
-            if rows.num_rows < 2:
-                continue
-            column = rows.column("terms").combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            terms = [values[s:e] for s, e in zip(offsets, offsets[1:])]
-            a, b = join_list(rows.column("token")[0].as_py(), rows.column("id").to_numpy(), rows.column("place").to_numpy(), V.unpack(rows.column("vec"), dim), terms, min_cosine, min_jaccard)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["point_a", "point_b"])
-
-    lists = posting_rows(posts, order, key, packed, vector, min_jaccard, dim)
-    pairs = lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, "point_a long, point_b long")
-    return pairs.distinct()  # parts of one list share their own records
+            places = rows.column("part").to_numpy()
+            cuts = [0, *(np.nonzero(places[1:] != places[:-1])[0] + 1).tolist(), len(places)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e - s > 1:
+                    a, b = joined(int(number), rows.slice(s, e - s))
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["point_a", "point_b"])
+
+    def joined(number: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column("terms").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        terms = [values[s:e] for s, e in zip(offsets, offsets[1:])]
+        shared = ((number - PAIR) >> PAIR_BITS, number & ((1 << PAIR_BITS) - 1)) if number >= PAIR else (number,)
+        return join_list(shared, rows.column("id").to_numpy(), rows.column("place").to_numpy(), V.unpack(rows.column("vec"), dim), terms, min_cosine, min_jaccard)
+
+    records = cut_lineage(folded_records(posts, order, key, packed, vector, dim))
+    lists = posting_rows(records, order, min_jaccard)
+    pairs = lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(run, "point_a long, point_b long")
+    copies = records.where(F.col("first").isNotNull()).select(F.least("id", "first").alias("point_a"), F.greatest("id", "first").alias("point_b"))
+    return pairs.unionAll(copies).distinct()  # parts of one list share their own records
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:

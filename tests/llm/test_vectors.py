@@ -1,4 +1,5 @@
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -162,12 +163,28 @@ def test_hot_copies_stay_linear(spark):
 def test_split_lists_lose_nothing(data, monkeypatch):
     df, _, _ = data
     whole = {(r.point_a, r.point_b) for r in D.near_duplicates(df).collect()}
-    monkeypatch.setattr(D, "LIST_ROWS", 25)
+    monkeypatch.setattr(D, "LIST_ROWS", 8)
     monkeypatch.setattr(D, "ROWS", 7)
     groups = lambda pairs: {r.point_id: r.group_id for r in D.duplicate_groups(pairs).collect()}
     again = D.near_duplicates(df)
     assert groups(again) == groups(D.near_duplicates(df)) and {(r.point_a, r.point_b) for r in again.collect()} == whole
 
 
+def test_lists_hold_every_pair_similar_enough():
+    """Of all small sets over a few terms, any two that share half of their union meet in the list of their first terms."""
+    sets = [sorted(c) for n in range(1, 6) for c in combinations(range(-3, 5), n)]
+    for frequent in (-3, 0, 2, 9):
+        lists = [dict(D.lists_of(s, frequent, 0.5)) for s in sets]
+        for x, lx in zip(sets, lists):
+            for y, ly in zip(sets, lists):
+                common = sorted({*x} & {*y})
+                if common and len(common) >= 0.5 * len({*x} | {*y}):
+                    number = common[0]
+                    if common[0] >= frequent and len(common) > 1:
+                        number = D.PAIR + (common[0] << D.PAIR_BITS) + common[1]
+                    assert number in lx and number in ly
+                    assert min(len(x) - lx[number], len(y) - ly[number]) >= len(common)
+
+
 def test_prefix_length():
     assert [D.prefix_length(n, 0.5) for n in (1, 2, 3, 10, 11)] == [1, 2, 2, 6, 6]

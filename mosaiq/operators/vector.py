@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 LEAST_NORM = 1e-9
@@ -83,6 +83,22 @@ def cosine_to(query: Sequence[float], vector: Column) -> Column:
     return score(vector)
 
 
+def cosine_between(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Cosine of two vector columns row by row; null where either isn't comparable or the lengths differ."""
+    out = np.full(len(a), np.nan)
+    sizes = [np.where(x.is_valid().to_numpy(zero_copy_only=False), np.diff(x.offsets.to_numpy()), -1) for x in (a, b)]
+    for dim in np.unique(sizes[0][(sizes[0] == sizes[1]) & (sizes[0] > 0)]).tolist():
+        (rows_a, unit_a), (rows_b, unit_b) = _matrix(a, dim), _matrix(b, dim)
+        both, at, other = np.intersect1d(rows_a, rows_b, assume_unique=True, return_indices=True)
+        out[both] = np.einsum("ij,ij->i", unit_a[at], unit_b[other])
+    return pa.array(out, mask=np.isnan(out))
+
+
+def register_sql(spark: SparkSession) -> None:
+    """Makes cosine_similarity(a, b) a function of the session's SQL."""
+    spark.udf.register("cosine_similarity", arrow_udf(cosine_between, "double"))
+
+
 def search(points: DataFrame, query: Sequence[float], limit: int = 10, sites: Sequence[str] = ()) -> DataFrame:
     """The `limit` points of highest cosine, of the given sites if any, ties by point_id. Limit 0 gives none."""
     found = points.where(F.col("site").isin(list(sites))) if sites else points

@@ -6,6 +6,8 @@ parse give no rows; an item without a usable id is dropped; null nested objects
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mosaiq.functions import columns as C
@@ -48,7 +50,7 @@ def _number(text: Column) -> Column:
     return F.coalesce(F.when(found < 2**32, found), F.lit(0))
 
 
-def _post(tags: Column, thumbnail: Column, direct: Column, width: Column, height: Column, rating: Column, page: Column | None, post_id: Column) -> Column:
+def post_fields(tags: Column, thumbnail: Column, direct: Column, width: Column, height: Column, rating: Column, page: Column | None, post_id: Column) -> Column:
     text = F.lit(None).cast("string")
     return F.struct(
         F.when(post_id.rlike(r"^\d{1,18}$"), post_id.try_cast("bigint")).alias("post_id"), F.coalesce(tags, F.lit("")).alias("tags"), thumbnail.alias("thumbnail_url"), direct.alias("direct_image_url"),
@@ -57,20 +59,20 @@ def _post(tags: Column, thumbnail: Column, direct: Column, width: Column, height
 
 
 def _flat(x: Column) -> Column:
-    return _post(x.tags, C.first_url(x.preview_url, x.sample_url, x.file_url), F.coalesce(x.file_url, x.sample_url), _number(x.width), _number(x.height), x.rating, None, x.id)
+    return post_fields(x.tags, C.first_url(x.preview_url, x.sample_url, x.file_url), F.coalesce(x.file_url, x.sample_url), _number(x.width), _number(x.height), x.rating, None, x.id)
 
 
 def _tagged(x: Column) -> Column:
-    return _post(x.tag_string, C.first_url(x.preview_file_url, x.large_file_url, x.file_url), F.coalesce(x.file_url, x.large_file_url), _number(x.image_width), _number(x.image_height), x.rating, None, x.id)
+    return post_fields(x.tag_string, C.first_url(x.preview_file_url, x.large_file_url, x.file_url), F.coalesce(x.file_url, x.large_file_url), _number(x.image_width), _number(x.image_height), x.rating, None, x.id)
 
 
 def _board(x: Column) -> Column:
-    return _post(x.tags, C.first_url(x.preview_url, x.sample_url, x.jpeg_url, x.file_url), F.coalesce(x.file_url, x.jpeg_url), _number(x.width), _number(x.height), x.rating, None, x.id)
+    return post_fields(x.tags, C.first_url(x.preview_url, x.sample_url, x.jpeg_url, x.file_url), F.coalesce(x.file_url, x.jpeg_url), _number(x.width), _number(x.height), x.rating, None, x.id)
 
 
 def _grouped(x: Column) -> Column:
     file = x["file"]
-    return _post(C.joined_groups(*(x.tags[g] for g in TAG_GROUPS)), C.first_url(x.preview.url, x["sample"].url, file.url), F.coalesce(file.url, x["sample"].url), _number(file.width), _number(file.height), x.rating, None, x.id)
+    return post_fields(C.joined_groups(*(x.tags[g] for g in TAG_GROUPS)), C.first_url(x.preview.url, x["sample"].url, file.url), F.coalesce(file.url, x["sample"].url), _number(file.width), _number(file.height), x.rating, None, x.id)
 
 
 def _attached(x: Column) -> Column:
@@ -79,7 +81,7 @@ def _attached(x: Column) -> Column:
     original = F.coalesce(own, F.get(F.filter(F.transform(F.coalesce(x.attachments, F.array().cast("array<struct<path:string>>")), lambda a: a.path), C.is_image_path), F.lit(0)))
     thumb = x["file"].thumbnail.path
     preview = F.coalesce(F.when(C.is_image_path(thumb), thumb), original)
-    return _post(
+    return post_fields(
         C.synthesized_tags(x.title, x.substring, x.service), C.first_url(C.media_url(base, preview), C.media_url(base, original)), C.media_url(base, original), F.lit(0).cast("long"), F.lit(0).cast("long"),
         F.lit(""), C.service_page(base, x.service, x.user, x.id), x.id,
     )
@@ -90,12 +92,21 @@ def _generated(x: Column) -> Column:
     meta = x.meta
     names = F.coalesce(F.transform(meta.resources, lambda r: r["name"]), F.array().cast("array<string>"))
     tags = C.unique_tags(F.concat(F.array(x.username, x.baseModel, meta.Model, meta.sampler), names, F.array(meta.prompt, meta.negativePrompt)))
-    return _post(tags, C.first_url(C.cached_thumbnail(url), url, page), url, _number(x.width), _number(x.height), C.nsfw_rating(x.nsfw, x.nsfwLevel), page, x.id)
+    return post_fields(tags, C.first_url(C.cached_thumbnail(url), url, page), url, _number(x.width), _number(x.height), C.nsfw_rating(x.nsfw, x.nsfwLevel), page, x.id)
 
 
 _ADAPTERS = {"flat": _flat, "tagged": _tagged, "board": _board, "grouped": _grouped, "attached": _attached, "generated": _generated}
 
 
+def register_family(name: str, item_schema: str, adapt: Callable[[Column], Column], envelope: str | None = None) -> None:
+    """Adds a source family: its item's fields, its envelope's key and a function from an item to post_fields().
+
+    Sites are mapped to families by registry.SITES.
+    """
+    FAMILIES[name] = (item_schema, envelope)
+    _ADAPTERS[name] = adapt
+
+
 def normalize_items(raw: DataFrame, site: str = "site", body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
     """Posts of all items in raw (a site name and a JSON body a row): the `keep` columns, site and the post's fields.
 

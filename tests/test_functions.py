@@ -114,3 +114,15 @@ def test_parser():
     assert (args.limit, args.image_weight, args.text) == (10, 1.0, "cat")
     with pytest.raises(SystemExit):
         parser().parse_args(["nothing"])
+
+
+def test_new_family(spark, monkeypatch):
+    from mosaiq.sources import adapters
+
+    monkeypatch.setattr(registry, "SITES", [*registry.SITES, ("newsite", 13, "plain", "https://new.example/{id}")])
+    monkeypatch.setattr(adapters, "FAMILIES", dict(adapters.FAMILIES))
+    monkeypatch.setattr(adapters, "_ADAPTERS", dict(adapters._ADAPTERS))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("long")
+    adapters.register_family("plain", "number STRING, words STRING", lambda x: adapters.post_fields(x.words, F.lit("t"), none, zero, zero, none, None, x.number), "rows")
+    raw = spark.createDataFrame([("newsite", '{"rows": [{"number": 4, "words": "w"}]}'), ("rule34", '[{"id": 1}]')], "site string, body string")
+    assert {(r.site, r.post_id, r.tags) for r in normalize_items(raw).collect()} == {("newsite", 4, "w"), ("rule34", 1, "")}

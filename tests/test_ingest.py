@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mosaiq import api
 from mosaiq.operators.store import PointStore, recent_page
 from mosaiq.streaming import checkpoint
-from mosaiq.streaming.ingest import CycleStats, Ingest
+from mosaiq.streaming.ingest import CycleStats, Ingest, daily_events
 
 
 def item(k, site, post, tags="t", width=10):
@@ -101,3 +101,22 @@ def test_engine(spark, tmp_path):
     assert engine.post("rule34", 2)["tags"] == "word2 x"
     assert engine.activity(3, 86400 * 10).count() == 4 - 1
     assert recent_page(store.points(), 5, 22).count() == 2
+
+
+def test_windows_on_a_stream_leave_out_late_rows(spark, tmp_path):
+    def land(name, days):
+        rows = spark.createDataFrame([(f"2024-01-{d:02d} 12:00:00", "Sleeping") for d in days], "t string, event_type string").selectExpr("CAST(t AS timestamp) AS ts", "event_type")
+        rows.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def drain():
+        stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in" / "*"))
+        query = daily_events(stream, "2 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    land("a", [1, 1, 2])
+    drain()
+    land("b", [10])
+    drain()
+    land("c", [1, 9, 20])  # the first is later than the watermark
+    drain()
+    assert {r.day: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-09": 1, "2024-01-10": 1}

@@ -61,3 +61,10 @@ def test_quantized_search_finds_the_same(points):
     coded = df.where("post_id < 60").withColumn("code", V.quantize_int8(F.col("image_vec"), 8))
     q = [1.0, 2, 3, 4, 0, 0, 0, -1]
     assert [r.point_id for r in V.search_quantized(coded, q, 5).collect()] == [r.point_id for r in V.search(df, q, 5).collect()]
+
+
+def test_sql_function(spark):
+    V.register_sql(spark)
+    spark.createDataFrame([(1, [3.0, 4.0], [4.0, 3.0]), (2, [1.0], [1.0, 2.0]), (3, None, [1.0]), (4, [0.0], [1.0]), (5, [2.0, 0.0], [-1.0, 0.0])], "k int, a array<float>, b array<float>").createOrReplaceTempView("pairs")
+    got = [r[0] for r in spark.sql("SELECT cosine_similarity(a, b) FROM pairs ORDER BY k").collect()]
+    assert abs(got[0] - 0.96) < 1e-12 and got[1:] == [None, None, None, -1.0]

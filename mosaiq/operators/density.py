@@ -1,9 +1,11 @@
 """Graph-based density clustering: projection, approximate kNN, mutual reachability, components, dendrogram selection.
 
-Candidates of a point are the first members, by index, of the buckets of its nearest pivots, up to a cap; so no bucket
-is ever needed beyond its first cap + 1 members, and pivots * (cap + 1) vectors are all that is broadcast, whatever the
-number of points. Everything else is equi-joins and aggregates, but for the dendrogram of a component, which is made in
-one task from that component's minimum spanning tree; each task first reduces the edges it has to such a tree.
+Candidates of a point are all members of the buckets of its nearest pivots. Pivots grow with the points, and a bucket
+expected to exceed BLOCK_ROWS is split: its points are hashed into parts, and each pair of parts is scored as a block of
+its own. Points with the same vector are scored once. The reference's cap on a point's candidates, which leaves out the
+points of high index, is kept as an option (DensityParams.capped). Everything else is equi-joins and aggregates, but for
+the dendrogram of a component, which is made in one task from that component's minimum spanning tree; each task first
+reduces the edges it has to such a tree.
 """
 
 from __future__ import annotations
@@ -21,11 +23,20 @@ from mosaiq.operators.vector import _matrix, dot
 from mosaiq.runtime import cut_lineage
 
 _MASK = (1 << 64) - 1
+ROWS_PER_PIVOT = 1024
+MOST_PIVOTS = 16_384  # 8 MB
+BLOCK_ROWS = 20_000
+TILE = 1 << 22  # numbers of a distance matrix held at once
+PART_BITS = 12
 
 
 @dataclass(frozen=True)
 class DensityParams:
-    """min_samples None means min_cluster_size."""
+    """min_samples None means min_cluster_size. pivots is the least number of them.
+
+    max_candidates counts only if capped is set: then there are just `pivots` pivots, and a point's candidates are cut to
+    the first max_candidates by index, as in the reference.
+    """
 
     min_cluster_size: int = 10
     min_samples: int | None = None
@@ -35,6 +46,7 @@ class DensityParams:
     max_candidates: int = 512
     epsilon: float = 0.05
     seed: int = 1215765097
+    capped: bool = False
 
     @property
     def k(self) -> int:
@@ -126,17 +138,149 @@ def choose_pivots(count: int, pivots: int, seed: int) -> list[int]:
 
 
 def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) -> DataFrame:
-    """(src, dst, rank, dist) of each indexed point's k nearest candidates; dist is 1 - cosine, at least 0."""
+    """(src, dst, rank, dist) of each indexed point's k nearest candidates; dist is 1 - cosine, at least 0.
+
+    A point of fewer than k candidates is given the points that follow by index besides.
+    """
     n = points.count()
     k = min(params.k, n - 1)
     if k < 1:
         return points.select(F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
-    chosen = choose_pivots(n, min(params.pivots, n), params.seed)
-    pivots = np.array([r.vec for r in points.where(F.col("idx").isin(chosen)).orderBy("idx").select("vec").collect()])
-    tops, cap = min(params.top_pivots, len(chosen)), params.max_candidates
+    rows = points.select("idx", "vec")
+    found = cut_lineage((_capped_neighbours if params.capped else _bucket_neighbours)(rows, params, n, k, dim))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for x, known in zip(*(c.to_pylist() for c in batch.columns)):
+                known, more, step = {x, *(known or ())}, [], 1
+                while len(known) + len(more) <= k and step < n:
+                    if (y := (x + step) % n) not in known:
+                        more.append(y)
+                    step += 1
+                src += [x] * len(more)
+                dst += more
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    enough = found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("idx"))
+    short = cut_lineage(rows.select("idx").join(enough, "idx", "left_anti").withColumnRenamed("idx", "src"))
+    known = short.join(found.select("src", "dst"), "src", "left").groupBy("src").agg(F.collect_list("dst").alias("known"))  # fewer than k each
+    a, b = rows.toDF("src", "a"), rows.toDF("dst", "b")
+    filled = known.mapInArrow(follow, "src long, dst long").join(a, "src").join(b, "dst").select("src", "dst", F.greatest(F.lit(0.0), 1 - dot(F.col("a"), F.col("b"))).alias("dist"))
+    every = found if short.isEmpty() else found.unionByName(filled)
+    return _nearest_first(every, k)
+
+
+def _nearest_first(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
+
+
+def _pivot_vectors(rows: DataFrame, n: int, pivots: int, seed: int) -> np.ndarray:
+    chosen = rows.sparkSession.createDataFrame([(x,) for x in choose_pivots(n, min(pivots, n), seed)], "idx long")
+    return np.array([r.vec for r in rows.join(F.broadcast(chosen), "idx").orderBy("idx").select("vec").collect()])  # at most MOST_PIVOTS
+
 
-    def vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim)
+def _vectors(batch: pa.RecordBatch, dim: int, column: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(column - 1).to_numpy(), batch.column(column).flatten().to_numpy().reshape(-1, dim)
+
+
+def _bucket_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
+    """(src, dst, dist): the k nearest of all members of each point's buckets, or all of them if they are fewer.
+
+    Of points with the same vector the one of least index stands for all in the buckets.
+    """
+    classes = cut_lineage(rows.groupBy("vec").agg(F.min("idx").alias("idx"), F.max("idx").alias("top")))
+    near = _nearest_first(_scored_buckets(classes.select("idx", "vec"), params, n, k, dim), k).drop("rank")
+    shared = classes.where(F.col("top") != F.col("idx")).select("vec", F.col("idx").alias("rep"))
+    if shared.isEmpty():
+        return near
+    members = cut_lineage(rows.join(shared, "vec").select("idx", "rep"))
+    part = Window.partitionBy("rep", F.pmod(F.xxhash64("idx"), F.lit(64))).orderBy("idx")
+    whole = Window.partitionBy("rep").orderBy("idx")
+    firsts = members.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
+    firsts = cut_lineage(firsts.groupBy("rep").agg(F.collect_list("idx").alias("firsts")))  # k + 1 each
+    near = near.join(firsts.withColumnRenamed("rep", "dst"), "dst", "left").select("src", F.explode(F.coalesce("firsts", F.array("dst"))).alias("dst"), "dist")
+    near = cut_lineage(_nearest_first(near, k).drop("rank"))
+    alone = near.join(firsts.select(F.col("rep").alias("src")), "src", "left_anti")
+    others = members.join(near.withColumnRenamed("src", "rep"), "rep").select(F.col("idx").alias("src"), "dst", "dist")
+    own = members.join(firsts, "rep").select(F.col("idx").alias("src"), F.explode("firsts").alias("dst"), F.lit(0.0).alias("dist")).where(F.col("src") != F.col("dst"))
+    return alone.unionByName(_nearest_first(others.unionByName(own), k).drop("rank"))
+
+
+def _scored_buckets(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
+    """(src, dst, dist): the k nearest in each bucket of each of the different vectors, each pair once."""
+    pivots = _pivot_vectors(rows, n, max(params.pivots, min(n // ROWS_PER_PIVOT, MOST_PIVOTS)), params.seed)
+    if not len(pivots):  # all chosen ones are copies of others
+        pivots = np.array([r.vec for r in rows.orderBy("idx").limit(1).collect()])
+    tops = min(params.top_pivots, len(pivots))
+
+    def nearest(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        out = np.empty((len(unit), tops), np.int64)
+        for s in range(0, len(unit), 1024):
+            out[s : s + 1024] = np.argpartition(unit[s : s + 1024] @ pivots.T, len(pivots) - tops, axis=1)[:, len(pivots) - tops :]
+        return out
+
+    load = np.bincount(nearest(pivots, pivots).ravel(), minlength=len(pivots)) * (n / len(pivots))
+    parts = np.clip(np.ceil(load / BLOCK_ROWS), 1, (1 << PART_BITS) - 1).astype(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, parts))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, parts = shared.value
+        for batch in batches:
+            idx, unit = _vectors(batch, dim)
+            cell = nearest(unit, pivots).ravel()
+            times = parts[cell]
+            row, cell, split = np.repeat(np.repeat(np.arange(len(idx)), tops), times), np.repeat(cell, times), np.repeat(times, times)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            own = (idx[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split
+            block = (cell << (2 * PART_BITS)) | (np.minimum(own, other) << PART_BITS) | np.maximum(own, other)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(idx[row]), batch.column(1).take(pa.array(row))], names=["block", "idx", "vec"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _blocks(batches):
+            ids, unit = (np.concatenate(x) for x in zip(*(_vectors(x, dim, 2) for x in found)))
+            size = len(ids)
+            most, tile = min(k, size - 1), max(1, min(512, TILE // size))
+            for s in range(0, size if most else 0, tile):
+                e = min(s + tile, size)
+                far = np.maximum(0, 1 - unit[s:e] @ unit.T)
+                far[np.arange(e - s), np.arange(s, e)] = np.inf
+                edge = np.partition(far, most - 1, axis=1)[:, most - 1, None]
+                r, c = np.divmod(np.flatnonzero(far <= edge), size)  # more than k where some tie
+                dist = far[r, c]
+                order = np.lexsort((ids[c], dist, r))
+                first = np.searchsorted(r, np.arange(e - s))
+                keep = order[np.arange(len(r)) - first[r] < most]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + r[keep]]), pa.array(ids[c[keep]]), pa.array(dist[keep])], names=["src", "dst", "dist"])
+
+    blocks = rows.select("idx", "vec").mapInArrow(assign, "block long, idx long, vec array<double>").repartition("block").sortWithinPartitions("block")
+    # a pair may meet in several blocks, with sums that differ in the last digit
+    return blocks.mapInArrow(score, "src long, dst long, dist double").repartition("src").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of equal first columns in sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:]):
+            if held and s < e and held[-1].column(0)[0].as_py() != keys[s]:
+                yield held
+                held = []
+            if s < e:
+                held.append(batch.slice(s, e - s))
+    if held:
+        yield held
+
+
+def _capped_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
+    """(src, dst, dist): as _bucket_neighbours, of the first max_candidates members by index only.
+
+    No bucket is needed beyond its first max_candidates + 1 members, so these are broadcast.
+    """
+    pivots = _pivot_vectors(rows, n, params.pivots, params.seed)
+    tops, cap = min(params.top_pivots, len(pivots)), params.max_candidates
 
     def nearest(unit: np.ndarray) -> np.ndarray:
         far = np.maximum(0, 1 - unit @ pivots.T)
@@ -144,11 +288,10 @@ def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) ->
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            idx, unit = vectors(batch)
+            idx, unit = _vectors(batch, dim)
             slots = nearest(unit)
             yield pa.RecordBatch.from_arrays([pa.array(slots.ravel().astype(np.int32)), pa.array(np.repeat(idx, tops))], names=["slot", "idx"])
 
-    rows = points.select("idx", "vec")
     slots = rows.mapInArrow(assign, "slot int, idx long")
     part = Window.partitionBy("slot", F.pmod("idx", F.lit(64))).orderBy("idx")
     whole = Window.partitionBy("slot").orderBy("idx")
@@ -156,13 +299,13 @@ def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) ->
     table = heads.join(rows, "idx").orderBy("slot", "idx").toArrow()  # at most pivots * (cap + 1) rows
     slot, head = table["slot"].to_numpy(), table["idx"].to_numpy()
     unit = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    cuts = np.searchsorted(slot, np.arange(len(chosen) + 1))
-    shared = points.sparkSession.sparkContext.broadcast((head, unit, cuts))
+    cuts = np.searchsorted(slot, np.arange(len(pivots) + 1))
+    shared = rows.sparkSession.sparkContext.broadcast((head, unit, cuts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, unit, cuts = shared.value
         for batch in batches:
-            idx, own = vectors(batch)
+            idx, own = _vectors(batch, dim)
             src, dst, dist = [], [], []
             for x, v, mine in zip(idx.tolist(), own, nearest(own)):
                 rows = np.concatenate([np.arange(cuts[s], cuts[s + 1]) for s in mine])
@@ -171,28 +314,14 @@ def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) ->
                 keep = np.sort(first[members[first] != x])[:cap]
                 found = members[keep]
                 far = np.maximum(0, 1 - unit[rows[keep]] @ v)
-                if len(found) < k:  # filled up with the points that follow by index
-                    known, more, step = {x, *found.tolist()}, [], 1
-                    while len(found) + len(more) < k and step < n:
-                        if (y := (x + step) % n) not in known:
-                            more.append(y)
-                        step += 1
-                    found, far = np.append(found, more).astype(np.int64), np.append(far, np.full(len(more), np.nan))
-                else:
-                    best = np.lexsort((found, far))[:k]
-                    found, far = found[best], far[best]
-                src += [x] * len(found)
-                dst.append(found)
-                dist.append(far)
+                best = np.lexsort((found, far))[:k]
+                src += [x] * len(best)
+                dst.append(found[best])
+                dist.append(far[best])
             if src:
-                far = np.concatenate(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(np.concatenate(dst)), pa.array(far, mask=np.isnan(far))], names=["src", "dst", "dist"])
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(np.concatenate(dst)), pa.array(np.concatenate(dist))], names=["src", "dst", "dist"])
 
-    scored = cut_lineage(rows.mapInArrow(score, "src long, dst long, dist double"))
-    a, b = rows.toDF("src", "a"), rows.toDF("dst", "b")
-    filled = scored.where(F.col("dist").isNull()).select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", F.greatest(F.lit(0.0), 1 - dot(F.col("a"), F.col("b"))).alias("dist"))
-    every = scored.where(F.col("dist").isNotNull()).unionByName(filled)
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
+    return rows.mapInArrow(score, "src long, dst long, dist double")
 
 
 def core_distances(knn: DataFrame) -> DataFrame:

@@ -137,3 +137,35 @@ def test_max_points_keeps_the_first(spark):
     df = spark.createDataFrame([(9 - k, [1.0, float(k)]) for k in range(8)] + [(1, None)], "point_id long, image_vec array<double>")
     assert [(r.idx, r.id) for r in D.index_points(df, dim=2, max_points=3).orderBy("idx").collect()] == [(0, 2), (1, 3), (2, 4)]
     assert [r.idx for r in D.index_points(df, dim=2).orderBy("id").collect()] == list(range(8))
+
+
+def nearest_by_brute_force(vectors, k):
+    far = np.maximum(0, 1 - vectors @ vectors.T)
+    np.fill_diagonal(far, np.inf)
+    return np.sort(far, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize("block_rows", [20_000, 300])
+def test_buckets_are_scored_whole(spark, monkeypatch, block_rows):
+    """More points in one bucket than max_candidates, a tenth of them copies of one: neighbours of any index are found."""
+    monkeypatch.setattr(D, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((1500, 16))
+    vectors[::10] = vectors[7]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")
+    params = D.DensityParams(min_cluster_size=5, neighbours=6, pivots=1, top_pivots=1)
+    got = {}
+    for r in D.approximate_knn(D.index_points(df, dim=16), params, 16).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, r.dist))
+    want = nearest_by_brute_force(vectors, 6)
+    assert len(got) == 1500 and all(len({j for j, _ in x} - {i}) == 6 for i, x in got.items())
+    assert np.allclose([[far for _, far in got[i]] for i in range(1500)], want, atol=1e-12)
+    assert all(abs(1 - vectors[i] @ vectors[j] - far) < 1e-12 for i, x in got.items() for j, far in x)
+
+
+def test_the_cap_is_an_option(spark):
+    vectors, _ = planted(1, 60, 0)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")
+    params = D.DensityParams(min_cluster_size=5, neighbours=5, pivots=1, top_pivots=1, max_candidates=10, capped=True)
+    assert {r.dst for r in D.approximate_knn(D.index_points(df, dim=16), params, 16).collect()} <= set(range(11))

@@ -264,6 +264,14 @@ def near_duplicates(posts: DataFrame, key: str = "point_id", packed: str = "tags
     Points without terms, without a comparable vector or with a null id belong to no pair; repeated rows count once.
     """
     order = term_order(posts, packed)
+    records = cut_lineage(folded_records(posts, order, key, packed, vector, dim))
+    pairs = _joined_lists(records, order, min_cosine, min_jaccard, dim)
+    copies = records.where(F.col("first").isNotNull()).select(F.least("id", "first").alias("point_a"), F.greatest("id", "first").alias("point_b"))
+    return pairs.unionAll(copies).distinct()  # parts of one list share their own records
+
+
+def _joined_lists(records: DataFrame, order: list[tuple[str, int]], min_cosine: float, min_jaccard: float, dim: int) -> DataFrame:
+    """(point_a, point_b) of the pairs of all posting lists; those of lists split in parts may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in V.by_key(batches):
@@ -283,16 +291,39 @@ def near_duplicates(posts: DataFrame, key: str = "point_id", packed: str = "tags
         shared = ((number - PAIR) >> PAIR_BITS, number & ((1 << PAIR_BITS) - 1)) if number >= PAIR else (number,)
         return join_list(shared, rows.column("id").to_numpy(), rows.column("place").to_numpy(), V.unpack(rows.column("vec"), dim), terms, min_cosine, min_jaccard)
 
-    records = cut_lineage(folded_records(posts, order, key, packed, vector, dim))
     lists = posting_rows(records, order, min_jaccard)
-    pairs = lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(run, "point_a long, point_b long")
-    copies = records.where(F.col("first").isNotNull()).select(F.least("id", "first").alias("point_a"), F.greatest("id", "first").alias("point_b"))
-    return pairs.unionAll(copies).distinct()  # parts of one list share their own records
+    return lists.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(run, "point_a long, point_b long")
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
-    """(point_id, group_id, n_links): one row per point with a near-duplicate; group_id is the least point of its group."""
+    """(point_id, group_id, n_links): one row per point of the pairs; group_id is the least point of its group.
+
+    n_links counts the pairs as they are given; near_duplicates() gives one pair a copy, linked_groups() counts all.
+    """
     ends = pairs.select(F.col("point_a").alias("vertex")).unionAll(pairs.select(F.col("point_b").alias("vertex")))
     links = ends.groupBy("vertex").agg(F.count(F.lit(1)).alias("n_links"))
     found = connected_components(pairs, "point_a", "point_b")
     return found.join(links, "vertex").select(F.col("vertex").alias("point_id"), F.col("component").alias("group_id"), "n_links")
+
+
+def linked_groups(posts: DataFrame, key: str = "point_id", packed: str = "tags", vector: str = "image_vec", min_cosine: float = MIN_COSINE, min_jaccard: float = MIN_JACCARD, dim: int = V.DIM) -> DataFrame:
+    """(point_id, group_id, n_links): one row per point with a near-duplicate, and the number of all its near-duplicates.
+
+    Only one record of each class of exact copies is joined. A member's links are the others of its class and all
+    members of the classes linked to it.
+    """
+    order = term_order(posts, packed)
+    records = cut_lineage(folded_records(posts, order, key, packed, vector, dim))
+    heads = records.where(F.col("first").isNull())
+    classes = cut_lineage(heads.groupBy("vec", "terms").agg(F.min("id").alias("id"), F.max("id").alias("top")))
+    several = classes.where(F.col("top") != F.col("id")).select("vec", "terms", F.col("id").alias("rep"))  # met by several tasks
+    moved = cut_lineage(heads.join(several, ["vec", "terms"]).select("id", "rep"))
+    first = heads.select("id", F.col("id").alias("first")).unionAll(records.where(F.col("first").isNotNull()).select("id", "first"))
+    members = cut_lineage(first.join(moved.toDF("first", "rep"), "first", "left").select("id", F.coalesce("rep", "first").alias("rep")))
+    sizes = cut_lineage(members.groupBy("rep").agg(F.count(F.lit(1)).alias("size")))
+    pairs = cut_lineage(_joined_lists(classes.select("id", "vec", "terms", F.lit(None).cast("long").alias("first")), order, min_cosine, min_jaccard, dim).distinct())
+    ends = pairs.toDF("rep", "other").unionAll(pairs.select("point_b", "point_a"))
+    linked = ends.join(sizes.toDF("other", "size"), "other").groupBy("rep").agg(F.sum("size").alias("linked"))
+    component = connected_components(pairs, "point_a", "point_b").toDF("rep", "component")
+    found = sizes.join(linked, "rep", "left").join(component, "rep", "left").select("rep", F.coalesce("component", "rep").alias("group_id"), (F.col("size") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return members.join(found.where(F.col("n_links") > 0), "rep").select(F.col("id").alias("point_id"), "group_id", "n_links")

@@ -48,7 +48,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return duplicates.duplicate_groups(duplicates.near_duplicates(_posts(spark, sf)))
+    return duplicates.linked_groups(_posts(spark, sf))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

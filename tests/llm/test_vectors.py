@@ -188,3 +188,26 @@ def test_lists_hold_every_pair_similar_enough():
 
 def test_prefix_length():
     assert [D.prefix_length(n, 0.5) for n in (1, 2, 3, 10, 11)] == [1, 2, 2, 6, 6]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_links_of_copies_are_all_counted(spark, monkeypatch, small):
+    """A class of copies of a third of all records, two records near it and another class: links as by brute force."""
+    if small:
+        monkeypatch.setattr(D, "LIST_ROWS", 8)
+    rng = np.random.default_rng(8)
+    hot, other = unit(rng.standard_normal((2, DIM)))
+    rows = [(hot, "a b c")] * 60 + [(unit(hot + 0.1 * unit(rng.standard_normal(DIM))), t) for t in ("a b c d", "a b")] + [(other, "x y")] * 5
+    rows += [(unit(rng.standard_normal(DIM)), f"t{k}") for k in range(110)]
+    rows = [(int(i), v.astype(np.float32).tolist(), t) for i, (v, t) in zip(rng.permutation(len(rows)), rows)]
+    df = spark.createDataFrame(rows, "point_id long, image_vec array<float>, tags string").repartition(5)
+    ids, cos = cosines({i: unit(np.array(v, np.float64)) for i, v, _ in rows})
+    terms = {i: set(t.split()) for i, _, t in rows}
+    links = Counter(int(ids[x]) for x, y in zip(*np.nonzero(cos >= 0.965)) if x != y and len(terms[ids[x]] & terms[ids[y]]) >= 0.5 * len(terms[ids[x]] | terms[ids[y]]))
+    got = {r.point_id: (r.group_id, r.n_links) for r in D.linked_groups(df).collect()}
+    assert {i: n for i, (_, n) in got.items()} == links and len(links) == 67
+    groups = {}
+    for i, (g, _) in got.items():
+        groups.setdefault(g, set()).add(i)
+    assert sorted(map(len, groups.values())) == [5, 62] and all(g == min(x) for g, x in groups.items())
+    assert D.linked_groups(df.limit(0)).count() == 0

@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--image-weight", type=float, default=1.0)
     search.add_argument("--sites", default="")
     cluster = add("cluster")
-    cluster.add_argument("--max-points", type=int, default=50_000)
+    cluster.add_argument("--max-points", type=int, help="cluster only the first so many points by id; all by default")
     cluster.add_argument("--min-cluster-size", type=int, default=10)
     cluster.add_argument("--dims", type=int)
     cluster.add_argument("--top", type=int, default=10)

@@ -188,7 +188,32 @@ def quantize_int8(vector: Column, dim: int = 64) -> Column:
     return quantize(vector)
 
 
-def search_quantized(points: DataFrame, query: Sequence[float], limit: int, over_fetch: int = 3) -> DataFrame:
-    """Two-stage search: the over_fetch * limit best by 8-bit codes (`code`), rescored on `image_vec`."""
-    coarse = points.withColumn("__coarse", cosine_to(query, F.col("code"))).where(F.col("__coarse").isNotNull())
-    return search(coarse.orderBy(F.desc("__coarse"), "point_id").limit(limit * over_fetch).drop("__coarse", "code"), query, limit)
+def _code_error(code: Column) -> Column:
+    """The most that the cosine to a code of quantize_int8 may differ from the one to its vector.
+
+    Rounding moves each coordinate by 1/2 at most, so the sine r of the angle between both is at most half the root of the
+    dimensions over the code's length, and their unit vectors are at most r / cos(angle / 2) apart, below r + r^3 up to 1/2.
+    """
+
+    @arrow_udf("double")
+    def error(codes: pa.Array) -> pa.Array:
+        sizes, values = np.diff(codes.offsets.to_numpy()), codes.flatten().to_numpy().astype(np.float64)
+        sums = np.concatenate([[0], np.cumsum(values * values)])
+        ends = np.cumsum(np.where(codes.is_valid().to_numpy(zero_copy_only=False), sizes, 0))
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        r = np.sqrt((ends - starts) / 4 / np.maximum(sums[ends] - sums[starts], 1e-300))
+        return pa.array(np.where(r <= 0.5, r + r**3, 2.0) + 1e-9)
+
+    return error(code)
+
+
+def search_quantized(points: DataFrame, query: Sequence[float], limit: int) -> DataFrame:
+    """Two-stage search, as exact as search(): by 8-bit codes (`code`, of quantize_int8), rescored on `image_vec`.
+
+    Rescored is every row whose score may reach the limit-th best, given the error of the codes.
+    """
+    coarse = points.withColumn("__coarse", cosine_to(query, F.col("code"))).where(F.col("__coarse").isNotNull()).withColumn("__error", _code_error(F.col("code")))
+    low, high = F.col("__coarse") - F.col("__error"), F.col("__coarse") + F.col("__error")
+    least = coarse.select(low.alias("__least")).orderBy(F.desc("__least")).limit(max(limit, 0)).agg(F.min("__least").alias("__least"))  # one row
+    near = coarse.crossJoin(F.broadcast(least)).where(high >= F.col("__least"))
+    return search(near.drop("__coarse", "__error", "__least", "code"), query, limit)

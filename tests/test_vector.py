@@ -68,3 +68,15 @@ def test_sql_function(spark):
     spark.createDataFrame([(1, [3.0, 4.0], [4.0, 3.0]), (2, [1.0], [1.0, 2.0]), (3, None, [1.0]), (4, [0.0], [1.0]), (5, [2.0, 0.0], [-1.0, 0.0])], "k int, a array<float>, b array<float>").createOrReplaceTempView("pairs")
     got = [r[0] for r in spark.sql("SELECT cosine_similarity(a, b) FROM pairs ORDER BY k").collect()]
     assert abs(got[0] - 0.96) < 1e-12 and got[1:] == [None, None, None, -1.0]
+
+
+def test_quantized_search_is_exact_among_near_copies(spark):
+    """A hundred posts closer to each other than the 8-bit error: the best are still found."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(64)
+    rows = [(k, "a", (base + 1e-3 * rng.standard_normal(64)).tolist()) for k in range(100)] + [(100, "a", None), (101, "a", rng.standard_normal(64).tolist())]
+    df = spark.createDataFrame(rows, "point_id long, site string, image_vec array<double>").repartition(3)
+    q = (base + 0.05 * rng.standard_normal(64)).tolist()
+    coded = df.withColumn("code", V.quantize_int8(F.col("image_vec")))
+    for limit in (0, 1, 5, 200):
+        assert [(r.point_id, r.score) for r in V.search_quantized(coded, q, limit).collect()] == [(r.point_id, r.score) for r in V.search(df, q, limit).collect()]

@@ -240,6 +240,11 @@ def connected_components(spark, sf):
     return components.connected_components(knn, "src", "dst")
 
 
+def knn_components(spark, sf):
+    """Components of the whole graph of 8 neighbours; no SQL, as a recursive one takes the square of a component."""
+    return components.connected_components(_exact_knn(spark, sf), "src", "dst")
+
+
 def cluster_summary(spark, sf):
     return density.cluster_summary(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").withColumn("cohesion", F.round("cohesion", 6))
 
@@ -289,7 +294,7 @@ QUERIES = {
     for f in (
         similar_topk, search_topk_all_sites, search_topk_site_list, hybrid_blend_topk, batch_knn, quantized_search, post_lookup, recent_page, recent_page_sites, site_counts, site_share_report, sites_metadata,
         activity_calendar, activity_rollup, point_id_roundtrip, payload_coercion, preflight_filter, post_urls, first_url_fallback, html_strip, unique_tags, site_list_parse, utc_dates, normalized_posts, first_posts, source_counts,
-        incremental_new_rows, checkpoint_max, status_fold, cycle_metrics, daily_window_counts, upsert_latest, exact_knn, core_distance, mutual_reachability_edges, edge_dedupe, connected_components, cluster_summary,
+        incremental_new_rows, checkpoint_max, status_fold, cycle_metrics, daily_window_counts, upsert_latest, exact_knn, core_distance, mutual_reachability_edges, edge_dedupe, connected_components, knn_components, cluster_summary,
         cluster_preview, cluster_ranking, loose_clusters, random_projection, graph_density_labels, cluster_membership, embedded_tags, streaming_ingest,
     )
 }

@@ -169,3 +169,24 @@ def test_the_cap_is_an_option(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")
     params = D.DensityParams(min_cluster_size=5, neighbours=5, pivots=1, top_pivots=1, max_candidates=10, capped=True)
     assert {r.dst for r in D.approximate_knn(D.index_points(df, dim=16), params, 16).collect()} <= set(range(11))
+
+
+def test_components_of_all_neighbours(spark):
+    from conftest import SF
+    from mosaiq.plans import reference
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    m = np.array([r.embedding for r in rows], np.float64)
+    cos = m @ m.T / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
+    np.fill_diagonal(cos, -2)
+    near = np.argsort(-cos, axis=1, kind="stable")[:, :8]
+    label = np.arange(len(rows))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, near.ravel(), np.repeat(label, 8))
+        new = np.minimum(new, new[near].min(1))
+        if (new == label).all():
+            break
+        label = new
+    want = {r.vec_id: rows[label[k]].vec_id for k, r in enumerate(rows)}
+    assert {r.vertex: r.component for r in reference.QUERIES["knn_components"](spark, SF).collect()} == want

@@ -3,7 +3,10 @@
     spark.dataSource.register(FeedSource)
     spark.readStream.format("posts_feed").option("urls", json.dumps({"rule34": "https://.../{last_id}"})).load()
 
-Each site is one partition. A stream's offset is the time of the poll; what was seen before is cut by the high-water
+Each site is one partition; its address may be a list of mirrors, of which the one that answers is kept for the poll. An
+address with {offset} is read page by page until an empty page or one like that before; the option pages (none by
+default) limits them. A site whose pages can't all be had gives none, so that no mark moves past a missing page. An
+address without {offset} is one page, whose items must then reach back to the last poll. A stream's offset is the time of the poll; what was seen before is cut by the high-water
 marks of the sink, so a poll taken twice does no harm.
 """
 
@@ -24,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from mosaiq.registry import SITES
 
 RETRIES, FIRST_WAIT, LONGEST_WAIT, TIMEOUT = 6, 5.0, 300.0, 30.0
+PAGE_SIZE = 50
 
 
 class FetchError(OSError):
@@ -84,14 +88,25 @@ def check_credentials(given: dict[str, tuple[str | None, str | None]]) -> list[s
 
 
 class _Site(InputPartition):
-    def __init__(self, site: str, url: str):
-        super().__init__((site, url))
-        self.site, self.url = site, url
+    def __init__(self, site: str, urls: list[str]):
+        super().__init__((site, *urls))
+        self.site, self.urls = site, urls
+
+
+def _empty(body: str) -> bool:
+    """Whether a page is JSON without items: an empty list, or an envelope of no list but empty ones."""
+    try:
+        page = json.loads(body)
+    except ValueError:
+        return not body.strip()
+    lists = [x for x in page.values() if isinstance(x, list)] if isinstance(page, dict) else [page]
+    return bool(lists) and not any(lists) or not page
 
 
 class _Reading:
     def __init__(self, options: dict[str, str]):
-        self.urls: dict[str, str] = json.loads(options["urls"])
+        self.urls: dict[str, str | list[str]] = json.loads(options["urls"])
+        self.pages, self.page_size = int(options["pages"]) if "pages" in options else None, int(options.get("pagesize", PAGE_SIZE))
         self.marks: dict[str, int] = json.loads(options.get("marks", "{}"))
         self.how = {"retries": int(options.get("retries", RETRIES)), "first_wait": float(options.get("firstwait", FIRST_WAIT)), "timeout": float(options.get("timeout", TIMEOUT))}
         unknown = set(self.urls) - {s[0] for s in SITES}
@@ -99,16 +114,31 @@ class _Reading:
             raise ValueError(f"unknown sites: {sorted(unknown)}")
 
     def _parts(self) -> list[_Site]:
-        return [_Site(s, u.replace("{last_id}", str(self.marks.get(s, 0)))) for s, u in sorted(self.urls.items())]
+        return [_Site(s, [x.replace("{last_id}", str(self.marks.get(s, 0))) for x in ([u] if isinstance(u, str) else u)]) for s, u in sorted(self.urls.items())]
 
     def read(self, partition: _Site) -> Iterator[tuple]:
-        """One row with the page; a site that can't be reached gives none, so that it doesn't hold up the others."""
-        try:
-            body = fetch(partition.url, **self.how).decode("utf-8", "replace")
-        except FetchError:
-            return
+        """One row a page; a site that can't be reached gives none, so that it doesn't hold up the others."""
+        found: list[str] = []
+        mirrors = list(partition.urls)
+        while mirrors and (self.pages is None or len(found) < self.pages):
+            try:
+                body = fetch(mirrors[0].replace("{offset}", str(len(found) * self.page_size)), **self.how).decode("utf-8", "replace")
+            except FetchError:
+                mirrors.pop(0)
+                found = []  # another mirror may order its pages otherwise
+                if not mirrors:
+                    return
+                continue
+            paged = "{offset}" in mirrors[0]
+            if paged and (_empty(body) or found[-1:] == [body]):
+                break
+            found.append(body)
+            if not paged:
+                break
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        yield int(time.time() * 1000), partition.site, now, body
+        began = int(time.time() * 1000)
+        for page, body in enumerate(found):
+            yield began + page, partition.site, now, body
 
 
 class _Batch(_Reading, DataSourceReader):
@@ -128,7 +158,7 @@ class _Stream(_Reading, DataSourceStreamReader):
 
 
 class FeedSource(DataSource):
-    """Options: urls (JSON, site to address), marks (JSON, site to last id), retries, firstWait, timeout."""
+    """Options: urls (JSON, site to address or mirrors), marks (JSON, site to last id), pages, pageSize, retries, firstWait, timeout."""
 
     @classmethod
     def name(cls) -> str:

@@ -92,3 +92,36 @@ def test_routes(spark):
     assert json.loads(serve.answer(engine, "/api/search?q=word&limit=3")[1])["meta"]["count"] == 3
     assert json.loads(serve.answer(engine, "/api/activity?days=2&now=864000")[1])["meta"]["count"] >= 2
     assert json.loads(serve.answer(engine, "/api/sites")[1])["data"][0]["count"] == 29
+
+
+@pytest.fixture
+def paged():
+    """A site of 23 items in pages of 5 under /posts; /short fails from its third page on."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            offset = int(self.path.rpartition("=")[2])
+            self.send_response(500 if self.path.startswith("/short") and offset >= 10 else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps([{"id": 100 - k, "tags": "t", "preview_url": "p"} for k in range(offset, min(offset + 5, 23))]).encode())
+
+        def log_message(self, *_):
+            pass
+
+    made = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{made.server_port}"
+    made.shutdown()
+
+
+def test_pages_and_mirrors(spark, paged):
+    spark.dataSource.register(feed.FeedSource)
+    whole, short = f"{paged}/posts?o={{offset}}", f"{paged}/short?o={{offset}}"
+
+    def ids(urls, **options):
+        read = spark.read.format("posts_feed").option("urls", json.dumps({"rule34": urls})).option("retries", "0").option("pageSize", "5").options(**options).load()
+        return sorted(r.post_id for r in normalize_items(read).collect())
+
+    assert ids(whole) == ids([short, whole]) == list(range(78, 101))
+    assert ids(whole, pages="2") == list(range(91, 101))
+    assert ids(short) == []

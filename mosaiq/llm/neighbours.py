@@ -1,7 +1,7 @@
 """Most similar vectors of every vector: adaptive dimension scan.
 
-Vectors are randomly rotated (vectors.pack), so any block of columns is a fair sample of a difference. In each probed
-list (vectors.in_blocks) the squared distances to all members are built up column block by column block; after each, a
+Vectors are randomly rotated (blocks.pack), so any block of columns is a fair sample of a difference. In each probed
+list (blocks.in_blocks) the squared distances to all members are built up column block by column block; after each, a
 hypothesis test abandons the pairs whose partial distance is too large for a full one within the bound: with d of D
 columns, partial > bound * d/D * (1 + SIGMA/sqrt(d))^2. Rows that keep many candidates, as in dense groups, finish them
 by one matrix product; the others pair by pair.
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from mosaiq.llm import vectors as V
+from mosaiq.operators import blocks as V
 
 K = 5
 MIN_COSINE = 0.90
@@ -21,12 +21,14 @@ PROBES = 5
 SIGMA = 3.0
 COLUMNS = 16
 MANY = 48
+WIDTH = 3
 
 
-def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: float = SIGMA, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine): for each vector of a list its k most similar others of at least `least`, ties by id."""
-    first = np.concatenate([[True], ids[1:] != ids[:-1]])
-    ids, unit = ids[first], unit[first]
+def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: float = SIGMA, columns: int = COLUMNS, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine): for each vector of a list its k most similar others of at least `least`, ties by id.
+
+    Ids are distinct and in order. If side is given, only vectors of different sides are compared.
+    """
     size, dim = unit.shape
     bound = 2 - 2 * least
     limit = lambda d: bound * d / dim * (1 + sigma / np.sqrt(d)) ** 2 if d < dim else bound
@@ -42,12 +44,16 @@ def scan_list(ids: np.ndarray, unit: np.ndarray, k: int, least: float, sigma: fl
         e = min(s + tile, size)
         kept = left[s:e] @ right >= 0
         kept[np.arange(e - s), np.arange(s, e)] = False
+        if side is not None:
+            kept &= side[s:e, None] != side[None, :]
         count = np.count_nonzero(kept, axis=1)
         many = np.nonzero(count > MANY)[0]
         if len(many):
             into = np.nonzero(kept[many].any(0))[0]
             cos = unit[s + many] @ unit[into].T
             cos[into[None, :] == (s + many)[:, None]] = -2
+            if side is not None:
+                cos[side[s + many][:, None] == side[into][None, :]] = -2
             if len(into) > k:
                 # all that tie with the k-th best are kept for the choice by id
                 edge = np.partition(cos, len(into) - k, axis=1)[:, len(into) - k]
@@ -94,14 +100,14 @@ def most_similar(posts: DataFrame, key: str = "point_id", vector: str = "image_v
     Ties go to the lesser id. Points without a comparable vector, null ids and repeated rows give nothing of their own;
     copies of one vector are each other's neighbours with cosine 1.
     """
-    packed = V.packed_points(posts, key, vector, width=3)
+    packed = V.packed_points(posts, key, vector, width=WIDTH)
     vectors = V.distinct_vectors(packed)
 
-    def work(ids: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, scan_list(ids, unit, k, min_cosine))], names=["a", "b", "cosine"])
+    def work(block: V.Block) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, scan_list(block.ids, block.unit, k, min_cosine, side=block.side))], names=["a", "b", "cosine"])
 
-    found = V.per_block(V.in_blocks(vectors, probes), work, "a long, b long, cosine double")
-    # at most probes * k candidates a vector
+    found = V.per_block(V.in_blocks(vectors, probes), work, "a long, b long, cosine double", probes, V.DIM * WIDTH)
+    # at most k candidates a vector and block
     near = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "b"))), 1, k).alias("best"))
     copies = V.copies_of(packed, vectors)
     if copies is None:

@@ -34,6 +34,16 @@ def latest_by_aggregate(rows: DataFrame, key: str, order: Column) -> DataFrame:
     return found.select(key, "__row.*")
 
 
+def latest_values(rows: DataFrame, key: str, order: str, values: dict[str, Column]) -> DataFrame:
+    """key and, for each name, the value in the key's row of the greatest order.
+
+    Only what is asked for is read and shuffled; numbers are combined by a hash aggregate, without a sort.
+    """
+    names = [f"__{k}" for k in range(len(values))]
+    narrow = rows.where(F.col(key).isNotNull()).select(key, F.col(order).alias("__order"), *(v.alias(n) for n, v in zip(names, values.values())))
+    return narrow.groupBy(key).agg(*(F.max_by(n, "__order").alias(name) for n, name in zip(names, values))) if values else narrow.select(key).distinct()
+
+
 class PointStore:
     """upsert(), points() and lookups over one table. The folder is on storage that all executors share.
 
@@ -59,7 +69,7 @@ class PointStore:
             paths = [f"{self.folder}/{c[step]}" for c in chains if len(c) > step]
             part = self.spark.read.parquet(*paths).withColumn("__step", F.lit(step))
             rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-        return latest_by_aggregate(rows, "point_id", F.struct(F.coalesce(F.col(ORDER), F.lit(-1)), "__step")).drop("__step")
+        return latest_by_aggregate(rows, "point_id", F.struct(ORDER, "__step")).drop("__step")  # a null comes first
 
     def points(self) -> DataFrame | None:
         """All current points; None before the first upsert."""
@@ -88,7 +98,7 @@ class PointStore:
         if not touched:
             return 0
         manifest = self._manifest()
-        version = self._write(latest_by_aggregate(rows, "point_id", F.coalesce(F.col(ORDER), F.lit(-1))))
+        version = self._write(latest_by_aggregate(rows, "point_id", F.struct(ORDER)))
         manifest |= {n: [*manifest.get(n, []), f"{version}/part={n}"] for n in touched}
         self._commit(manifest)
         full = [n for n in touched if len(manifest[n]) > self.compact_after]

@@ -99,10 +99,15 @@ def register_sql(spark: SparkSession) -> None:
     spark.udf.register("cosine_similarity", arrow_udf(cosine_between, "double"))
 
 
+def best_scored(scored: DataFrame, limit: int) -> DataFrame:
+    """The `limit` rows of highest score, ties by point_id; rows without a score are left out."""
+    return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), "point_id").limit(max(limit, 0))
+
+
 def search(points: DataFrame, query: Sequence[float], limit: int = 10, sites: Sequence[str] = ()) -> DataFrame:
     """The `limit` points of highest cosine, of the given sites if any, ties by point_id. Limit 0 gives none."""
     found = points.where(F.col("site").isin(list(sites))) if sites else points
-    return found.withColumn("score", cosine_to(query, F.col("image_vec"))).where(F.col("score").isNotNull()).orderBy(F.desc("score"), "point_id").limit(max(limit, 0)).drop("image_vec")
+    return best_scored(found.withColumn("score", cosine_to(query, F.col("image_vec"))).drop("image_vec"), limit)
 
 
 class NotFound(LookupError):

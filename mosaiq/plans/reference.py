@@ -6,7 +6,7 @@ site named by the registry, its stamp in epoch seconds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mosaiq import registry, schema
 from mosaiq.functions import columns as C
@@ -14,7 +14,7 @@ from mosaiq.functions.media import HashEmbedder, embed_with
 from mosaiq.operators import components, density, stats, store, vector
 from mosaiq.plans.training import SECONDS_SQL, epoch_seconds
 from mosaiq.runtime import scratch_folder, table
-from mosaiq.sources.adapters import KEMONO_BASE, TAG_GROUPS, first_by_id, normalize_items
+from mosaiq.sources.adapters import KEMONO_BASE, TAG_GROUPS, first_by_id, normalize_items, without_ratings
 from mosaiq.streaming import ingest
 
 NOW, DAYS = 1_719_792_000, 30
@@ -23,11 +23,25 @@ K = 10
 WEIGHT = 0.3
 
 
-def points(spark: SparkSession, sf: str) -> DataFrame:
-    rows = store.latest_by_aggregate(table(spark, sf, "post_embeddings"), "point_id", F.col("row_id"))
-    names = table(spark, sf, "site_registry").select("site_namespace", F.col("site").alias("name"))  # 12 rows at any scale
-    found = rows.drop("site").join(F.broadcast(names), "site_namespace", "left").withColumnRenamed("name", "site")
-    return found.withColumn("ingestion_date", F.coalesce(epoch_seconds(F.col("ingestion_date")), F.lit(0)))
+def _registry(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "site_registry").select("site_namespace", F.col("site").alias("name"))  # 12 rows at any scale
+
+
+def points(spark: SparkSession, sf: str, *columns: str, sites: list[str] | None = None, **made: Column) -> DataFrame:
+    """The current points with point_id, post_id, site_namespace, site and the columns asked for, of the given sites.
+
+    Namespace and post_id are those of the point id; a filter on sites reaches the scan. The expressions `made` are
+    evaluated on the scan, so that a vector that is only to be scored isn't shuffled.
+    """
+    rows, names = table(spark, sf, "post_embeddings"), _registry(spark, sf)
+    if sites is not None:
+        kept = [r.site_namespace for r in names.where(F.col("name").isin(sites)).collect()]  # at most 12
+        rows = rows.where(F.col("site_namespace").isin(kept))
+    found = store.latest_values(rows, "point_id", "row_id", {c: F.col(c) for c in columns} | made)
+    if "ingestion_date" in columns:
+        found = found.withColumn("ingestion_date", F.coalesce(epoch_seconds(F.col("ingestion_date")), F.lit(0)))
+    found = found.withColumn("site_namespace", schema.decode_namespace(F.col("point_id"))).withColumn("post_id", schema.decode_post_id(F.col("point_id")))
+    return found.join(F.broadcast(names), "site_namespace", "left").withColumnRenamed("name", "site")
 
 
 POINTS = f"""
@@ -52,11 +66,15 @@ def _scored(found: DataFrame) -> DataFrame:
     return found.select("point_id", "post_id", "site", F.round("score", 6).alias("score"))
 
 
-def _probe(spark: SparkSession, sf: str) -> tuple[str, int]:
-    """The site and id of the first post of a site with a comparable vector."""
-    found = points(spark, sf).where((F.col("site") == SITES[0]) & vector.cosine_to(_query_vector(spark, sf), F.col("image_vec")).isNotNull())
-    row = found.orderBy("post_id").select("site", "post_id").first()
-    return row.site, row.post_id
+def _against(spark: SparkSession, sf: str, query: list[float], sites: list[str] | None = None) -> DataFrame:
+    """The current points with their score against a query vector."""
+    return points(spark, sf, sites=sites, score=vector.cosine_to(query, F.col("image_vec")))
+
+
+def _probe(spark: SparkSession, sf: str) -> int:
+    """The first point of a site with a comparable vector."""
+    found = _against(spark, sf, _query_vector(spark, sf), SITES[:1]).where(F.col("score").isNotNull())
+    return found.agg(F.min("point_id")).first()[0]
 
 
 _PROBE = f"probe AS (SELECT * FROM units WHERE site = '{SITES[0]}' ORDER BY post_id LIMIT 1)"
@@ -64,46 +82,49 @@ _QUERY = "query AS (SELECT list_transform(CAST(embedding AS DOUBLE[]), lambda x:
 
 
 def similar_topk(spark, sf):
-    site, post_id = _probe(spark, sf)
-    return _scored(vector.search_similar(points(spark, sf), site, post_id, K))
+    own = _probe(spark, sf)
+    row = table(spark, sf, "post_embeddings").where(F.col("point_id") == own).orderBy(F.desc("row_id")).select("image_vec").first()
+    return _scored(vector.best_scored(_against(spark, sf, row[0], SITES[:1]).where(F.col("point_id") != own), K))
 
 
 def search_topk_all_sites(spark, sf):
-    return _scored(vector.search(points(spark, sf), _query_vector(spark, sf), K))
+    return _scored(vector.best_scored(_against(spark, sf, _query_vector(spark, sf)), K))
 
 
 def search_topk_site_list(spark, sf):
-    return _scored(vector.search(points(spark, sf), _query_vector(spark, sf), K, SITES))
+    return _scored(vector.best_scored(_against(spark, sf, _query_vector(spark, sf), SITES), K))
 
 
 def hybrid_blend_topk(spark, sf):
-    text, image = _query_vector(spark, sf, 1), _query_vector(spark, sf, 2)
-    mixed = [(1 - WEIGHT) * t + WEIGHT * i for t, i in zip(text, image)]
-    return _scored(vector.search(points(spark, sf), mixed, K))
+    text, image = F.array(*map(F.lit, _query_vector(spark, sf, 1))), F.array(*map(F.lit, _query_vector(spark, sf, 2)))
+    mixed = spark.range(1).select(vector.blend(vector.l2_normalize(text), vector.l2_normalize(image), WEIGHT).alias("v")).first().v
+    return _scored(vector.best_scored(_against(spark, sf, mixed), K))
 
 
 def batch_knn(spark, sf):
-    rows = points(spark, sf)
+    rows = points(spark, sf, "image_vec")
     found = vector.batch_knn(rows.where(F.col("point_id") % 100 == 0), rows, 5)
     return found.select(F.col("query").alias("point_id"), "rank", F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
 
 
 def quantized_search(spark, sf):
-    coded = points(spark, sf).withColumn("code", vector.quantize_int8(F.col("image_vec")))
+    coded = points(spark, sf, "image_vec").withColumn("code", vector.quantize_int8(F.col("image_vec")))
     return _scored(vector.search_quantized(coded, _query_vector(spark, sf), K))
 
 
 def post_lookup(spark, sf):
-    site, post_id = _probe(spark, sf)
-    return store.as_result(store.lookup(points(spark, sf), site, post_id)).select("point_id", "post_id", "site", "post_url", "thumbnail_url", "direct_image_url", "tags", "width", "height", "ingestion_date", "rating", "score")
+    rows = table(spark, sf, "post_embeddings").where(F.col("point_id") == _probe(spark, sf))
+    last = rows.orderBy(F.desc("row_id")).limit(1).drop("site").join(F.broadcast(_registry(spark, sf)), "site_namespace", "left").withColumnRenamed("name", "site")
+    shown = store.as_result(last.withColumn("ingestion_date", F.coalesce(epoch_seconds(F.col("ingestion_date")), F.lit(0))))
+    return shown.select("point_id", "post_id", "site", "post_url", "thumbnail_url", "direct_image_url", "tags", "width", "height", "ingestion_date", "rating", "score")
 
 
 def recent_page(spark, sf):
-    return store.recent_page(points(spark, sf), 20, 40).select("point_id", "site", "ingestion_date")
+    return store.recent_page(points(spark, sf, "ingestion_date"), 20, 40).select("point_id", "site", "ingestion_date")
 
 
 def recent_page_sites(spark, sf):
-    return store.recent_page(points(spark, sf), 20, 0, SITES).select("point_id", "site", "ingestion_date")
+    return store.recent_page(points(spark, sf, "ingestion_date", sites=SITES), 20, 0).select("point_id", "site", "ingestion_date")
 
 
 def site_counts(spark, sf):
@@ -115,15 +136,15 @@ def site_share_report(spark, sf):
 
 
 def sites_metadata(spark, sf):
-    return stats.sites_metadata(points(spark, sf))
+    return stats.sites_metadata(points(spark, sf, "ingestion_date"))
 
 
 def activity_calendar(spark, sf):
-    return stats.activity_calendar(points(spark, sf), DAYS, NOW)
+    return stats.activity_calendar(points(spark, sf, "ingestion_date"), DAYS, NOW)
 
 
 def activity_rollup(spark, sf):
-    return stats.activity_rollup(stats.activity_calendar(points(spark, sf), DAYS, NOW, SITES), DAYS).withColumn("intensity", F.round("intensity", 6)).withColumn("average", F.round("average", 6))
+    return stats.activity_rollup(stats.activity_calendar(points(spark, sf, "ingestion_date", sites=SITES), DAYS, NOW), DAYS).withColumn("intensity", F.round("intensity", 6)).withColumn("average", F.round("average", 6))
 
 
 def point_id_roundtrip(spark, sf):
@@ -146,7 +167,7 @@ def preflight_filter(spark, sf):
 
 
 def post_urls(spark, sf):
-    return points(spark, sf).select("point_id", registry.page_url(F.col("site"), F.col("post_id"), C.blank_to_null(F.col("post_url"))).alias("url"), registry.page_url(F.col("site"), F.col("post_id")).alias("page"), registry.namespace(F.col("site")).alias("namespace"))
+    return points(spark, sf, "post_url").select("point_id", registry.page_url(F.col("site"), F.col("post_id"), C.blank_to_null(F.col("post_url"))).alias("url"), registry.page_url(F.col("site"), F.col("post_id")).alias("page"), registry.namespace(F.col("site")).alias("namespace"))
 
 
 def first_url_fallback(spark, sf):
@@ -206,8 +227,8 @@ def daily_window_counts(spark, sf):
 
 
 def upsert_latest(spark, sf):
-    rows = store.latest_by_aggregate(table(spark, sf, "post_embeddings"), "point_id", F.col("row_id"))
-    return rows.select("point_id", "row_id", "tags", "rating", "width", "height")
+    rows = table(spark, sf, "post_embeddings").select("point_id", "row_id", "tags", "rating", "width", "height")
+    return store.latest_by_aggregate(rows, "point_id", F.col("row_id")).select("point_id", "row_id", "tags", "rating", "width", "height")
 
 
 def _exact_knn(spark, sf):
@@ -276,26 +297,40 @@ def cluster_membership(spark, sf):
 
 
 def embedded_tags(spark, sf):
-    return points(spark, sf).select("point_id", embed_with(HashEmbedder, F.col("tags")).alias("vector"))
+    return points(spark, sf, "tags").select("point_id", embed_with(HashEmbedder, F.col("tags")).alias("vector"))
 
 
-def streaming_ingest(spark, sf):
-    """The raw items taken as a stream into a points table, and that table."""
+def _streamed(spark: SparkSession, sf: str, files: int, files_per_batch: int) -> DataFrame:
     folder = scratch_folder(spark, "ingest")
-    table(spark, sf, "raw_posts").write.parquet(f"{folder}/landing")
+    # in an order of its own, so that a batch holds ids from all over
+    table(spark, sf, "raw_posts").repartition(files, F.xxhash64("raw_id")).sortWithinPartitions(F.desc("raw_id")).write.parquet(f"{folder}/landing")
     kept = store.PointStore(spark, f"{folder}/points")
-    ingest.Ingest(spark, kept, f"{folder}/marks.json", clock=lambda: NOW).stream(f"{folder}/landing", f"{folder}/state", 10_000).awaitTermination()  # one batch
+    ingest.Ingest(spark, kept, f"{folder}/marks.json", clock=lambda: NOW).stream(f"{folder}/landing", f"{folder}/state", files_per_batch).awaitTermination()
     found = kept.points()
     return found.select("point_id", "post_id", "site", "site_namespace", "post_url", "thumbnail_url", "direct_image_url", "tags", "width", "height", "ingestion_date", "rating")
 
 
+def streaming_ingest(spark, sf):
+    """The raw items taken as a stream of 8 files into a points table, 4 files a batch, and that table."""
+    return _streamed(spark, sf, 8, 4)
+
+
+def streaming_micro_batches(spark, sf):
+    """As streaming_ingest, in 10 batches of one file."""
+    return _streamed(spark, sf, 10, 1)
+
+
+def rating_exclusion(spark, sf):
+    return without_ratings(normalized_posts(spark, sf)).select("raw_id", "site", "post_id", "rating")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         similar_topk, search_topk_all_sites, search_topk_site_list, hybrid_blend_topk, batch_knn, quantized_search, post_lookup, recent_page, recent_page_sites, site_counts, site_share_report, sites_metadata,
         activity_calendar, activity_rollup, point_id_roundtrip, payload_coercion, preflight_filter, post_urls, first_url_fallback, html_strip, unique_tags, site_list_parse, utc_dates, normalized_posts, first_posts, source_counts,
         incremental_new_rows, checkpoint_max, status_fold, cycle_metrics, daily_window_counts, upsert_latest, exact_knn, core_distance, mutual_reachability_edges, edge_dedupe, connected_components, knn_components, cluster_summary,
-        cluster_preview, cluster_ranking, loose_clusters, random_projection, graph_density_labels, cluster_membership, embedded_tags, streaming_ingest,
+        cluster_preview, cluster_ranking, loose_clusters, random_projection, graph_density_labels, cluster_membership, embedded_tags, streaming_ingest, streaming_micro_batches, rating_exclusion,
     )
 }
 
@@ -387,6 +422,7 @@ posts AS (SELECT * FROM parsed WHERE post_id IS NOT NULL),
 marks AS (SELECT site, max(last_id) AS last_id FROM ingest_log WHERE event_type = 'CheckpointUpdated' AND site IS NOT NULL GROUP BY 1)"""
 
 _BARE = "CASE WHEN v LIKE '\"%' THEN substr(v, 2, length(v) - 2) END"
+_KEPT = "NOT (site = 'civitai' AND rating = 's')"
 _FIT = f"thumbnail_url <> '' AND coalesce({_ASPECT} <= 2.0, true)"
 
 ORACLES = {
@@ -394,7 +430,8 @@ ORACLES = {
     "search_topk_all_sites": f"WITH {UNITS}, {_QUERY} " + _ranked("true", "(SELECT q FROM query)"),
     "search_topk_site_list": f"WITH {UNITS}, {_QUERY} " + _ranked(f"site IN ({_SITE_LIST})", "(SELECT q FROM query)"),
     "hybrid_blend_topk": f"""WITH {UNITS},
-mixed AS (SELECT list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: {1 - WEIGHT} * z[1] + {WEIGHT} * z[2]) AS m FROM embeddings a, embeddings b WHERE a.vec_id = 1 AND b.vec_id = 2),
+unit_of AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (1, 2))),
+mixed AS (SELECT list_transform(list_zip(a.e, b.e), lambda z: {1 - WEIGHT} * z[1] + {WEIGHT} * z[2]) AS m FROM unit_of a, unit_of b WHERE a.vec_id = 1 AND b.vec_id = 2),
 query AS (SELECT list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS q FROM mixed) """
     + _ranked("true", "(SELECT q FROM query)"),
     "batch_knn": f"""WITH {UNITS},
@@ -428,7 +465,8 @@ SELECT raw_id, v, CASE WHEN v IS NULL OR v = 'null' THEN '' WHEN v LIKE '"%' THE
     "normalized_posts": f"WITH {POSTS} SELECT * FROM posts",
     "first_posts": f"WITH {POSTS} SELECT site, post_id, min(raw_id) AS raw_id FROM posts GROUP BY 1, 2",
     "source_counts": f"WITH {POSTS} SELECT site, count(*) AS items, CAST(count(*) FILTER ({_FIT}) AS BIGINT) AS fit, max(post_id) AS last_id FROM posts GROUP BY 1",
-    "incremental_new_rows": f"WITH {POSTS} SELECT raw_id, site, post_id FROM posts LEFT JOIN marks USING (site) WHERE post_id > coalesce(last_id, 0)",
+    "incremental_new_rows": f"WITH {POSTS} SELECT raw_id, site, post_id FROM posts LEFT JOIN marks USING (site) WHERE post_id > coalesce(last_id, 0) AND {_KEPT}",
+    "rating_exclusion": f"WITH {POSTS} SELECT raw_id, site, post_id, rating FROM posts WHERE {_KEPT}",
     "checkpoint_max": "SELECT site, max(last_id) AS last_id FROM ingest_log WHERE event_type = 'CheckpointUpdated' AND site IS NOT NULL GROUP BY 1",
     "status_fold": """WITH e AS (SELECT DISTINCT * FROM ingest_log), m AS (SELECT site, max(last_id) AS last_id FROM e WHERE event_type = 'CheckpointUpdated' AND site IS NOT NULL GROUP BY 1)
 SELECT (SELECT count(*) FROM m) > 0 AS is_running, (SELECT string_agg(DISTINCT site, ',' ORDER BY site) FROM e WHERE event_type IN ('CycleComplete', 'CheckpointUpdated')) AS active_sites,
@@ -437,7 +475,7 @@ SELECT (SELECT count(*) FROM m) > 0 AS is_running, (SELECT string_agg(DISTINCT s
 s AS (SELECT site, count(*) FILTER (event_type = 'CycleComplete') AS cycles, count(*) FILTER (event_type = 'CycleFailed') AS failures, CAST(coalesce(sum(fetched) FILTER (event_type = 'CycleComplete'), 0) AS BIGINT) AS fetched,
   CAST(coalesce(sum(upserted) FILTER (event_type = 'CycleComplete'), 0) AS BIGINT) AS upserted, coalesce(sum(elapsed_secs) FILTER (event_type = 'CycleComplete'), 0) AS secs FROM e GROUP BY 1)
 SELECT site, cycles, failures, fetched, upserted, fetched - upserted AS skipped, CASE WHEN upserted > 0 AND secs > 0 THEN round(upserted / secs, 6) ELSE 0 END AS posts_per_second, CASE WHEN upserted > 0 AND secs > 0 THEN round(secs / upserted, 6) ELSE 0 END AS seconds_per_post FROM s""",
-    "streaming_ingest": f"""WITH {POSTS}, fit AS (SELECT *, row_number() OVER (PARTITION BY site, post_id ORDER BY raw_id DESC) AS n FROM posts WHERE {_FIT})
+    "streaming_ingest": f"""WITH {POSTS}, fit AS (SELECT *, row_number() OVER (PARTITION BY site, post_id ORDER BY raw_id DESC) AS n FROM posts WHERE {_FIT} AND {_KEPT})
 SELECT r.site_namespace * 1000000000000 + post_id AS point_id, post_id, site, r.site_namespace, coalesce(canonical_post_url, replace({_PAGE}, '{{id}}', CAST(post_id AS VARCHAR))) AS post_url, thumbnail_url,
   coalesce(direct_image_url, thumbnail_url) AS direct_image_url, tags, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST({NOW} AS BIGINT) AS ingestion_date, rating FROM fit JOIN site_registry r USING (site) WHERE n = 1""",
     "daily_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM ingest_log WHERE ts IS NOT NULL GROUP BY 1, 2",
@@ -475,4 +513,5 @@ def _trim_all_space(sql: str) -> str:
     return sql
 
 
+ORACLES["streaming_micro_batches"] = ORACLES["streaming_ingest"]
 ORACLES = {name: _trim_all_space(sql) for name, sql in ORACLES.items()}

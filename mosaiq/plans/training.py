@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mosaiq.functions.text import normal_form_col
-from mosaiq.operators.hotkeys import heavy_keys, per_key
+from mosaiq.operators.hotkeys import counted_keys, heavy_keys, per_key
 from mosaiq.operators.packed import split_packed
 from mosaiq.runtime import table
 
@@ -59,17 +59,13 @@ SECONDS_SQL = (
 )
 
 
-def site_summary(spark: SparkSession, sf: str) -> DataFrame:
-    posts = table(spark, sf, "post_embeddings")
-    return per_key(posts, normal_form_col("site"), F.col("point_id"), epoch_seconds(F.col("ingestion_date")))
-
-
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return heavy_keys(site_summary(spark, sf), SITE_SHARE).select(F.col("key").alias("site"))
+    return heavy_keys(counted_keys(table(spark, sf, "post_embeddings"), "site", normal_form_col), SITE_SHARE).select(F.col("key").alias("site"))
 
 
 def p3_sites(spark: SparkSession, sf: str) -> DataFrame:
-    return site_summary(spark, sf).select(F.col("key").alias("site"), "n_rows", F.col("n_items").alias("n_points"), F.col("first_value").alias("first_ingestion"), F.col("last_value").alias("last_ingestion"))
+    found = per_key(table(spark, sf, "post_embeddings"), "site", normal_form_col, "point_id", epoch_seconds(F.col("ingestion_date")))
+    return found.select(F.col("key").alias("site"), "n_rows", F.col("n_items").alias("n_points"), F.col("first_value").alias("first_ingestion"), F.col("last_value").alias("last_ingestion"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

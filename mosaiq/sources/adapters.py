@@ -107,10 +107,11 @@ def register_family(name: str, item_schema: str, adapt: Callable[[Column], Colum
     _ADAPTERS[name] = adapt
 
 
-def normalize_items(raw: DataFrame, site: str = "site", body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+def normalize_items(raw: DataFrame, site: str = "site", body: str = "body", keep: tuple[str, ...] = (), place: str | None = None) -> DataFrame:
     """Posts of all items in raw (a site name and a JSON body a row): the `keep` columns, site and the post's fields.
 
-    Items of the family 'generated' that aren't images are left out; sites without an adapter give no rows.
+    Items of the family 'generated' that aren't images are left out; sites without an adapter give no rows. If `place` is
+    given, a column of that name tells an item's place in its body, from 0.
     """
     name, text = F.col(site), F.col(body)
     fine = F.when(~F.ltrim(text).startswith("<") & F.try_parse_json(text).isNotNull(), text)
@@ -121,7 +122,22 @@ def normalize_items(raw: DataFrame, site: str = "site", body: str = "body", keep
             items = F.filter(items, lambda x: C.is_image_item(x.type, x.url))
         found = F.transform(items, adapt)
         posts = F.when(kind == key, found) if posts is None else posts.when(kind == key, found)
-    return raw.select(*keep, name.alias("site"), F.explode(posts).alias("p")).select(*keep, "site", "p.*").where(F.col("post_id").isNotNull())
+    if place:
+        found = raw.select(*keep, name.alias("site"), F.posexplode(posts).alias(place, "p")).select(*keep, "site", place, "p.*")
+    else:
+        found = raw.select(*keep, name.alias("site"), F.explode(posts).alias("p")).select(*keep, "site", "p.*")
+    return found.where(F.col("post_id").isNotNull())
+
+
+#: fixed values: ratings that aren't ingested, by site
+EXCLUDED_RATINGS = {"civitai": ("s",)}
+
+
+def without_ratings(posts: DataFrame, excluded: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Posts but those of the ratings excluded for their site."""
+    for site, ratings in (EXCLUDED_RATINGS if excluded is None else excluded).items():
+        posts = posts.where(~((F.col("site") == site) & F.col("rating").isin(list(ratings))))
+    return posts
 
 
 def first_by_id(posts: DataFrame, order: str) -> DataFrame:

@@ -6,8 +6,11 @@
 Each site is one partition; its address may be a list of mirrors, of which the one that answers is kept for the poll. An
 address with {offset} is read page by page until an empty page or one like that before; the option pages (none by
 default) limits them. A site whose pages can't all be had gives none, so that no mark moves past a missing page. An
-address without {offset} is one page, whose items must then reach back to the last poll. A stream's offset is the time of the poll; what was seen before is cut by the high-water
-marks of the sink, so a poll taken twice does no harm.
+address without {offset} is one page, whose items must then reach back to the last poll. {user} and {key} stand for a
+site's credentials, which are sent as basic authorization where the address doesn't hold them. A site that fails gives one
+row without a body and with the error. {last_id} is the site's mark: given by the option marks, or read from the file of
+the option markFile at each poll of a stream. A stream's offset is the time of the poll; what was seen before is cut by
+the high-water marks of the sink, so a poll taken twice does no harm.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -87,10 +92,18 @@ def check_credentials(given: dict[str, tuple[str | None, str | None]]) -> list[s
     return out
 
 
+def feed_options(urls: dict[str, str | list[str]], credentials: dict[str, tuple[str | None, str | None]] | None = None, **options: object) -> dict[str, str]:
+    """Options of FeedSource for all sites with an address; a site whose credentials are half given is an error."""
+    credentials = credentials or {}
+    sites = [s for s in check_credentials(credentials) if s in urls]
+    whole = {s: list(credentials[s]) for s in sites if s in credentials}
+    return {"urls": json.dumps({s: urls[s] for s in sites}), "credentials": json.dumps(whole)} | {k: str(v) for k, v in options.items()}
+
+
 class _Site(InputPartition):
-    def __init__(self, site: str, urls: list[str]):
+    def __init__(self, site: str, urls: list[str], user: tuple[str, str] | None = None):
         super().__init__((site, *urls))
-        self.site, self.urls = site, urls
+        self.site, self.urls, self.user = site, urls, user
 
 
 def _empty(body: str) -> bool:
@@ -109,24 +122,46 @@ class _Reading:
         self.pages, self.page_size = int(options["pages"]) if "pages" in options else None, int(options.get("pagesize", PAGE_SIZE))
         self.marks: dict[str, int] = json.loads(options.get("marks", "{}"))
         self.how = {"retries": int(options.get("retries", RETRIES)), "first_wait": float(options.get("firstwait", FIRST_WAIT)), "timeout": float(options.get("timeout", TIMEOUT))}
+        self.credentials: dict[str, list[str]] = json.loads(options.get("credentials", "{}"))
+        self.mark_file = options.get("markfile")
         unknown = set(self.urls) - {s[0] for s in SITES}
         if unknown:
             raise ValueError(f"unknown sites: {sorted(unknown)}")
 
+    def _marks(self) -> dict[str, int]:
+        if self.mark_file:
+            try:  # no session here
+                files, path = pa_fs.FileSystem.from_uri(self.mark_file)
+                with files.open_input_stream(path) as text:
+                    return json.loads(text.read())
+            except (OSError, ValueError):
+                pass
+        return self.marks
+
     def _parts(self) -> list[_Site]:
-        return [_Site(s, [x.replace("{last_id}", str(self.marks.get(s, 0))) for x in ([u] if isinstance(u, str) else u)]) for s, u in sorted(self.urls.items())]
+        marks, out = self._marks(), []
+        for site, given in sorted(self.urls.items()):
+            pair = self.credentials.get(site)
+            mirrors = [x.replace("{last_id}", str(marks.get(site, 0))) for x in ([given] if isinstance(given, str) else given)]
+            named = pair and any("{key}" in x for x in mirrors)
+            if named:
+                mirrors = [x.replace("{user}", quote(pair[0])).replace("{key}", quote(pair[1])) for x in mirrors]
+            out.append(_Site(site, mirrors, tuple(pair) if pair and not named else None))
+        return out
 
     def read(self, partition: _Site) -> Iterator[tuple]:
-        """One row a page; a site that can't be reached gives none, so that it doesn't hold up the others."""
+        """One row a page; a site that can't be reached gives one with the error, so that it doesn't hold up the others."""
         found: list[str] = []
+        began, now = int(time.time() * 1000), datetime.now(timezone.utc).replace(tzinfo=None)
         mirrors = list(partition.urls)
         while mirrors and (self.pages is None or len(found) < self.pages):
             try:
-                body = fetch(mirrors[0].replace("{offset}", str(len(found) * self.page_size)), **self.how).decode("utf-8", "replace")
-            except FetchError:
+                body = fetch(mirrors[0].replace("{offset}", str(len(found) * self.page_size)), user=partition.user, **self.how).decode("utf-8", "replace")
+            except FetchError as error:
                 mirrors.pop(0)
                 found = []  # another mirror may order its pages otherwise
                 if not mirrors:
+                    yield began, partition.site, now, None, f"credentials missing or refused: {error}" if error.status == 401 else str(error)
                     return
                 continue
             paged = "{offset}" in mirrors[0]
@@ -135,10 +170,8 @@ class _Reading:
             found.append(body)
             if not paged:
                 break
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        began = int(time.time() * 1000)
         for page, body in enumerate(found):
-            yield began + page, partition.site, now, body
+            yield began + len(found) - page, partition.site, now, body, None  # the first page is the newest
 
 
 class _Batch(_Reading, DataSourceReader):
@@ -158,14 +191,14 @@ class _Stream(_Reading, DataSourceStreamReader):
 
 
 class FeedSource(DataSource):
-    """Options: urls (JSON, site to address or mirrors), marks (JSON, site to last id), pages, pageSize, retries, firstWait, timeout."""
+    """Options: urls (JSON, site to address or mirrors), credentials (JSON, site to pair), marks (JSON, site to last id) or markFile, pages, pageSize, retries, firstWait, timeout."""
 
     @classmethod
     def name(cls) -> str:
         return "posts_feed"
 
     def schema(self) -> str:
-        return "raw_id bigint, site string, fetched_at timestamp_ntz, body string"
+        return "raw_id bigint, site string, fetched_at timestamp_ntz, body string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Batch(self.options)

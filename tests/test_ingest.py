@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mosaiq import api
 from mosaiq.operators.store import PointStore, recent_page
 from mosaiq.streaming import checkpoint
-from mosaiq.streaming.ingest import CycleStats, Ingest, daily_events
+from mosaiq.streaming.ingest import CycleStats, EventLog, Ingest, daily_events, watch_marks
 
 
 def item(k, site, post, tags="t", width=10):
@@ -41,7 +41,8 @@ def test_batches_upsert_and_are_idempotent(spark, tmp_path):
     assert state(store) == {("rule34", 5): ("later", 100), ("xbooru", 1): ("t", 100)}
     assert checkpoint.load(spark, run.mark_file) == {"rule34": 5, "xbooru": 2}
     again = run.run_batch(raw(spark, [item(1, "rule34", 5, "old")]))
-    assert again.fetched == 0 and state(store)[("rule34", 5)] == ("later", 100)
+    assert again.fetched == 1 and state(store)[("rule34", 5)] == ("later", 100)
+    assert run.run_batch(raw(spark, [item(3, "rule34", 5, "polled"), item(4, "rule34", 4)]), polled=True).fetched == 0
     run.clock = lambda: 200
     run.run_batch(raw(spark, [item(9, "rule34", 6)]))
     assert state(store)[("rule34", 6)] == ("t", 200) and len(state(store)) == 3
@@ -85,6 +86,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert state(stores[0]) == state(stores[1]) and len(state(stores[0])) == 30
 
 
+def test_micro_batches_lose_nothing(spark, tmp_path):
+    """Files whose ids fall, one a batch; a point's last raw item may come first."""
+    rows = [item(k, "rule34" if k % 3 else "xbooru", 500 - k % 50, f"t{k}") for k in range(80)]
+    for k in range(8):
+        raw(spark, rows[10 * k : 10 * k + 10]).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    store = PointStore(spark, str(tmp_path / "points"))
+    run = Ingest(spark, store, str(tmp_path / "marks.json"), clock=lambda: 1)
+    run.stream(str(tmp_path / "landing"), str(tmp_path / "state"), files_per_batch=1).awaitTermination()
+    want = {}
+    for k, site, body in rows:
+        want[site, json.loads(body)["id"]] = (f"t{k}", 1)
+    assert len(run.history) == 8 and state(store) == want
+    assert checkpoint.load(spark, run.mark_file) == {"rule34": 500, "xbooru": 500}
+    run.stream(str(tmp_path / "landing"), str(tmp_path / "other"), files_per_batch=3).awaitTermination()  # taken again
+    assert state(store) == want
+    assert run.log.status() == {"is_running": True, "active_sites": ["rule34", "xbooru"], "last_checkpoint": {"rule34": 500, "xbooru": 500}}
+
+
+def test_event_log(spark, tmp_path):
+    log = EventLog(kept=3)
+    for k in range(5):
+        log.add("Sleeping", sleep_secs=k)
+    events, lost = log.after(1)
+    assert [e["data"]["sleep_secs"] for e in events] == [2, 3, 4] and lost == 1 and log.after(5, 0.01) == ([], 0)
+    checkpoint.save(spark, str(tmp_path / "m.json"), {"rule34": 7})
+    thread = watch_marks(spark, str(tmp_path / "m.json"), log, 0.05)
+    events, _ = log.after(5, 10)
+    thread.stop.set()
+    thread.join()
+    assert events[0]["data"] == {"site": "rule34", "last_id": 7}
+
+
 def test_rates():
     assert CycleStats().posts_per_second == 0 and CycleStats().seconds_per_post == 0
     assert CycleStats(10, 8, 8, 1, 4.0).posts_per_second == 2

@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from mosaiq.functions.media import Embedder, HashEmbedder
+from mosaiq.functions.media import Embedder, HashEmbedder, is_valid_image
 from mosaiq.operators import density, stats, store, vector
+from mosaiq.sources.feed import FetchError, fetch
 
 PAGE_LIMIT = 100
+MOST_IMAGE_BYTES = 20 << 20
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -34,9 +36,20 @@ class Engine:
             self._model = self._make()
         return self._model.embed([value])[0].tolist()
 
-    def search(self, text: str | None = None, image: bytes | None = None, vector_query: Sequence[float] | None = None, sites: str | Sequence[str] | None = None, limit: int = 10, image_weight: float = 0.5) -> DataFrame:
-        """Text, image or blended search. limit is capped at PAGE_LIMIT and may be 0; the weight is held in [0, 1]."""
+    def search(self, text: str | None = None, image: bytes | None = None, vector_query: Sequence[float] | None = None, sites: str | Sequence[str] | None = None, limit: int = 10, image_weight: float = 0.5, image_url: str | None = None) -> DataFrame:
+        """Text, image or blended search; results as store.as_result() has them.
+
+        limit is capped at PAGE_LIMIT and may be 0; the weight is held in [0, 1]. An image may be given as bytes or by its
+        URL; it must be valid as for media.is_valid_image(), and MOST_IMAGE_BYTES at most.
+        """
         text = (text or "").strip() or None
+        if image is None and image_url:
+            try:
+                image = fetch(image_url, retries=1, first_wait=0.5, most=MOST_IMAGE_BYTES)
+            except FetchError as error:
+                raise ValueError(f"no image at that address: {error}") from error
+            if not is_valid_image(image):
+                raise ValueError("no image at that address")
         if vector_query is None:
             weight = vector.effective_weight(text is not None, image is not None, min(1.0, max(0.0, image_weight)))
             parts = [(1 - weight, self._embed(text) if text else None), (weight, self._embed(image) if image is not None else None)]
@@ -44,11 +57,13 @@ class Engine:
             length = sum(x * x for x in mixed) ** 0.5
             vector_query = [x / length for x in mixed] if length > vector.LEAST_NORM else mixed
         query = vector.check_query(vector_query, self.dim)
-        found = vector.search(self.points, query, min(limit, PAGE_LIMIT), parse_sites(sites))
-        return found
+        return self._results(vector.search(self.points, query, min(limit, PAGE_LIMIT), parse_sites(sites)))
+
+    def _results(self, found: DataFrame) -> DataFrame:
+        return store.as_result(found, F.col("score")).orderBy(F.desc("score"), "point_id")
 
     def similar(self, site: str, post_id: int, limit: int = 10) -> DataFrame:
-        return vector.search_similar(self.points, site, post_id, clamp(limit, 1, PAGE_LIMIT))
+        return self._results(vector.search_similar(self.points, site, post_id, clamp(limit, 1, PAGE_LIMIT)))
 
     def recent(self, limit: int = 20, offset: int = 0, sites: str | Sequence[str] | None = None) -> tuple[list[dict], int | None]:
         """The rows of one page and the next offset, None on the last page."""
@@ -72,8 +87,30 @@ class Engine:
     def stats(self, width: int = 48) -> DataFrame:
         return stats.site_share_report(self.points, width)
 
-    def cluster(self, params: density.DensityParams = density.DensityParams(), target_dim: int | None = None, max_points: int | None = None) -> DataFrame:
-        return density.density_clusters(self.points, params, dim=self.dim, target_dim=target_dim, max_points=max_points)
+    def cluster(self, params: density.DensityParams = density.DensityParams(), target_dim: int | None = None, max_points: int | None = None, site: str | None = None) -> DataFrame:
+        """(idx, id, label) of the points, or of those of one site."""
+        points = self.points.where(F.col("site") == site) if site else self.points
+        return density.density_clusters(points, params, dim=self.dim, target_dim=target_dim, max_points=max_points)
+
+    def cluster_members(self, labels: DataFrame, top: int = 10, preview: int = 5) -> DataFrame:
+        """(label, size, cohesion, rank, member, similarity): the most typical members of the `top` most coherent clusters.
+
+        member is the post's URL, or # and its id if it has none.
+        """
+        members = labels.join(self.points.select(F.col("point_id").alias("id"), "image_vec"), "id")
+        best = density.rank_clusters(density.cluster_summary(members), top).select("label", "size", "cohesion")
+        shown = density.cluster_preview(members, preview=preview).join(F.broadcast(best), "label")  # `top` rows
+        names = self.points.select(F.col("point_id").alias("id"), member_label(F.col("post_url"), F.col("post_id")).alias("member"))
+        return shown.join(names, "id").select("label", "size", "cohesion", "rank", "member", "similarity").orderBy(F.desc("cohesion"), F.desc("size"), "label", "rank")
+
+
+def member_label(post_url: Column, post_id: Column) -> Column:
+    return F.when(F.coalesce(post_url, F.lit("")) == "", F.concat(F.lit("#"), post_id.cast("string"))).otherwise(post_url)
+
+
+def blend_label(image_weight: float) -> str | None:
+    """How text and image were mixed, if they were."""
+    return f"blend image={image_weight:.1f} text={1 - image_weight:.1f}" if 0 < image_weight < 1 else None
 
 
 def envelope(rows: list[dict], next_offset: int | None = None) -> str:

@@ -51,13 +51,18 @@ def image_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
+def is_valid_image(data: bytes | None) -> bool:
+    """Whether the bytes are an image of at least LEAST_BYTES with both edges at least LEAST_EDGE."""
+    size = image_size(data) if data is not None and len(data) >= LEAST_BYTES else None
+    return size is not None and min(size) >= LEAST_EDGE
+
+
 def valid_image(content: Column | str) -> Column:
-    """Whether the bytes are an image of at least LEAST_BYTES with both edges at least LEAST_EDGE; null counts as not."""
+    """is_valid_image() of a column; null counts as not."""
 
     @arrow_udf("boolean")
     def check(values: pa.Array) -> pa.Array:
-        sizes = [image_size(x) if x is not None and len(x) >= LEAST_BYTES else None for x in values.to_pylist()]
-        return pa.array([s is not None and min(s) >= LEAST_EDGE for s in sizes], pa.bool_())
+        return pa.array([is_valid_image(x) for x in values.to_pylist()], pa.bool_())
 
     return check(content)
 

@@ -1,11 +1,11 @@
 """Graph-based density clustering: projection, approximate kNN, mutual reachability, components, dendrogram selection.
 
-Candidates of a point are all members of the buckets of its nearest pivots. Pivots grow with the points, and a bucket
-expected to exceed BLOCK_ROWS is split: its points are hashed into parts, and each pair of parts is scored as a block of
-its own. Points with the same vector are scored once. The reference's cap on a point's candidates, which leaves out the
-points of high index, is kept as an option (DensityParams.capped). Everything else is equi-joins and aggregates, but for
-the dendrogram of a component, which is made in one task from that component's minimum spanning tree; each task first
-reduces the edges it has to such a tree.
+Neighbours of a point are sought in the blocks of its nearest pivots (operators.blocks), whose size and number don't grow
+with the points; a pair of points is told apart by one of the blocks where it meets, and points with the same vector are
+scored once. The reference's rule, 64 pivots and a cap on a point's candidates that leaves out the points of high index,
+is kept as an option (DensityParams.capped). Everything else is equi-joins and aggregates, but for the dendrogram of a
+component, which is made in one task from that component's minimum spanning tree; each task first reduces the edges it
+has to such a tree.
 """
 
 from __future__ import annotations
@@ -17,25 +17,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import arrow_udf
 
+from mosaiq.operators import blocks as B
 from mosaiq.operators.components import connected_components
 from mosaiq.operators.vector import _matrix, dot
 from mosaiq.runtime import cut_lineage
 
+# fixed values: the seeds and masks of the reference's sampling
+PROJECTION_SEED = 1215765097
+PIVOT_MASK = 0xA5A5A5A5A5A5A5A5
 _MASK = (1 << 64) - 1
-ROWS_PER_PIVOT = 1024
-MOST_PIVOTS = 16_384  # 8 MB
-BLOCK_ROWS = 20_000
-TILE = 1 << 22  # numbers of a distance matrix held at once
-PART_BITS = 12
+PROBES = 7  # nearest pivots whose blocks a point joins; recall: README
+EDGES_HELD = 1_000_000
 
 
 @dataclass(frozen=True)
 class DensityParams:
-    """min_samples None means min_cluster_size. pivots is the least number of them.
+    """min_samples None means min_cluster_size.
 
-    max_candidates counts only if capped is set: then there are just `pivots` pivots, and a point's candidates are cut to
-    the first max_candidates by index, as in the reference.
+    pivots, top_pivots and max_candidates count only if capped is set: then there are just `pivots` pivots, and a point's
+    candidates are cut to the first max_candidates by index, as in the reference.
     """
 
     min_cluster_size: int = 10
@@ -45,38 +47,39 @@ class DensityParams:
     top_pivots: int = 3
     max_candidates: int = 512
     epsilon: float = 0.05
-    seed: int = 1215765097
+    seed: int = PROJECTION_SEED
     capped: bool = False
+    probes: int = PROBES
 
     @property
     def k(self) -> int:
         return max(self.neighbours, self.min_samples or self.min_cluster_size)
 
     def __post_init__(self) -> None:
-        if min(self.min_cluster_size, self.neighbours, self.pivots, self.top_pivots, self.max_candidates) < 1 or self.epsilon < 0:
+        if min(self.min_cluster_size, self.neighbours, self.pivots, self.top_pivots, self.max_candidates, self.probes) < 1 or self.epsilon < 0:
             raise ValueError("clustering parameters must be positive")
 
 
-def hash64(x: int) -> int:
-    """The public splitmix64 step: a fixed hash of a 64-bit number."""
+def splitmix64(x: int) -> int:
+    """The public function of that name: a fixed hash of a 64-bit number."""
     x = (x + 0x9E3779B97F4A7C15) & _MASK
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
     x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
     return x ^ (x >> 31)
 
 
-def projection_matrix(source: int, target: int, nnz: int = 2, seed: int = 1215765097) -> np.ndarray:
+def projection_matrix(source: int, target: int, nnz: int = 2, seed: int = PROJECTION_SEED) -> np.ndarray:
     """Sparse random projection: nnz entries of +-1/sqrt(nnz) a source dimension; place and sign from one hashed word."""
     out = np.zeros((source, target))
     for dim in range(source):
-        word = hash64(seed ^ dim)
+        word = splitmix64(seed ^ dim)
         for slot in range(nnz):
-            word = hash64(word ^ slot)
+            word = splitmix64(word ^ slot)
             out[dim, word % target] += (1 if word % 2 == 0 else -1) / np.sqrt(nnz)
     return out
 
 
-def project(points: DataFrame, target: int, vector: str = "image_vec", dim: int = 64, seed: int = 1215765097) -> DataFrame:
+def project(points: DataFrame, target: int, vector: str = "image_vec", dim: int = 64, seed: int = PROJECTION_SEED) -> DataFrame:
     """The vectors projected to `target` dimensions and brought to unit length; unchanged if that is their dimension.
 
     Rows whose vector isn't comparable are left out.
@@ -101,38 +104,43 @@ def project(points: DataFrame, target: int, vector: str = "image_vec", dim: int
 
 
 def index_points(points: DataFrame, key: str = "point_id", vector: str = "image_vec", dim: int = 64, max_points: int | None = None) -> DataFrame:
-    """(idx, id, vec): points with a comparable vector, numbered by id from 0, repeated ids once; unit vectors.
+    """(idx, id, vec): points with a comparable vector, numbered by id from 0, repeated ids once; vec as its bytes.
 
     Numbered per range partition, with the partitions' counts added, so no window runs over the whole table.
     max_points, the reading cap of a clustering run, keeps the first by id; by default there is none.
     """
-    source = points.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim))
-
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = _matrix(batch.column(1), dim)
-            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["id", "vec"])
-
-    found = source.mapInArrow(unit, "id long, vec array<double>").dropDuplicates(["id"])
+    found = B.packed_points(points, key, vector, dim, _width(points, vector)).groupBy("id").agg(F.min("vec").alias("vec"))
     if max_points is not None:
         found = found.orderBy("id").limit(max_points)
     ranged = cut_lineage(found.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()))
     sizes = sorted((r.part, r["count"]) for r in ranged.groupBy("part").count().collect())  # one number a task
-    start = dict(zip([p for p, _ in sizes], np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()))
-    if not start:
-        return ranged.select(F.lit(0).cast("long").alias("idx"), "id", "vec")
-    place = F.element_at(F.create_map(*(F.lit(x) for p, s in start.items() for x in (p, s))), F.col("part"))
-    return cut_lineage(ranged.withColumn("idx", place + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).select(F.col("idx").cast("long"), "id", "vec"))
+    start = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
+    names = points.sparkSession.createDataFrame(list(zip([p for p, _ in sizes], start)), "part int, first long")
+    numbered = ranged.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1).join(F.broadcast(names), "part")  # one row a task
+    return cut_lineage(numbered.select((F.col("first") + F.col("row")).alias("idx"), "id", "vec"))
+
+
+def _width(points: DataFrame, vector: str) -> int:
+    return 4 if points.schema[vector].dataType.elementType.typeName() == "float" else 8
+
+
+def _distance_of(dim: int):
+    """1 - cosine of two columns of packed vectors, at least 0."""
+
+    @arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.maximum(0, 1 - np.einsum("ij,ij->i", B.unpack(a, dim), B.unpack(b, dim))))
+
+    return distance
 
 
 def choose_pivots(count: int, pivots: int, seed: int) -> list[int]:
     if pivots >= count:
         return list(range(count))
     chosen: set[int] = set()
-    word = hash64(seed ^ 0xA5A5A5A5A5A5A5A5)
+    word = splitmix64(seed ^ PIVOT_MASK)
     while len(chosen) < pivots:
-        word = hash64(word)
+        word = splitmix64(word)
         chosen.add(word % count)
     return sorted(chosen)
 
@@ -146,8 +154,8 @@ def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) ->
     k = min(params.k, n - 1)
     if k < 1:
         return points.select(F.col("idx").alias("src"), F.col("idx").alias("dst"), F.lit(1).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
-    rows = points.select("idx", "vec")
-    found = cut_lineage((_capped_neighbours if params.capped else _bucket_neighbours)(rows, params, n, k, dim))
+    rows = points.select(F.col("idx").alias("id"), "vec")
+    found = cut_lineage(_capped_neighbours(points.select("idx", "vec"), params, n, k, dim) if params.capped else block_neighbours(rows, k, params.probes, dim))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,116 +170,86 @@ def approximate_knn(points: DataFrame, params: DensityParams, dim: int = 64) ->
                 dst += more
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    enough = found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("idx"))
-    short = cut_lineage(rows.select("idx").join(enough, "idx", "left_anti").withColumnRenamed("idx", "src"))
-    known = short.join(found.select("src", "dst"), "src", "left").groupBy("src").agg(F.collect_list("dst").alias("known"))  # fewer than k each
-    a, b = rows.toDF("src", "a"), rows.toDF("dst", "b")
-    filled = known.mapInArrow(follow, "src long, dst long").join(a, "src").join(b, "dst").select("src", "dst", F.greatest(F.lit(0.0), 1 - dot(F.col("a"), F.col("b"))).alias("dist"))
-    every = found if short.isEmpty() else found.unionByName(filled)
+    enough = found.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("src").alias("id"))
+    short = cut_lineage(rows.select("id").join(enough, "id", "left_anti").withColumnRenamed("id", "src"))
+    every = found
+    if not short.isEmpty():
+        known = short.join(found.select("src", "dst"), "src", "left").groupBy("src").agg(F.collect_list("dst").alias("known"))  # fewer than k each
+        a, b = rows.toDF("src", "a"), rows.toDF("dst", "b")
+        near = _distance_of(dim)
+        every = found.unionByName(known.mapInArrow(follow, "src long, dst long").join(a, "src").join(b, "dst").select("src", "dst", near("a", "b").alias("dist")))
     return _nearest_first(every, k)
 
 
-def _nearest_first(found: DataFrame, k: int) -> DataFrame:
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
-
+def nearest_neighbours(df: DataFrame, k: int, key: str = "point_id", vector: str = "image_vec", dim: int = 64, probes: int = PROBES) -> DataFrame:
+    """(src, dst, rank, dist): the k nearest others of every row with a key and a comparable vector, ties by key.
 
-def _pivot_vectors(rows: DataFrame, n: int, pivots: int, seed: int) -> np.ndarray:
-    chosen = rows.sparkSession.createDataFrame([(x,) for x in choose_pivots(n, min(pivots, n), seed)], "idx long")
-    return np.array([r.vec for r in rows.join(F.broadcast(chosen), "idx").orderBy("idx").select("vec").collect()])  # at most MOST_PIVOTS
+    Exact while there are no more pivots than `probes` (some 7,000 vectors); beyond, as far as blocks find them. Of
+    repeated keys the least vector counts.
+    """
+    rows = B.packed_points(df, key, vector, dim, _width(df, vector)).groupBy("id").agg(F.min("vec").alias("vec"))
+    return _nearest_first(block_neighbours(cut_lineage(rows), k, probes, dim), k)
 
 
-def _vectors(batch: pa.RecordBatch, dim: int, column: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(column - 1).to_numpy(), batch.column(column).flatten().to_numpy().reshape(-1, dim)
+def _nearest_first(found: DataFrame, k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
 
-def _bucket_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
-    """(src, dst, dist): the k nearest of all members of each point's buckets, or all of them if they are fewer.
+def block_neighbours(rows: DataFrame, k: int, probes: int = PROBES, dim: int = 64) -> DataFrame:
+    """(src, dst, dist): the k nearest of all members of the blocks of each (id, vec), or all of them if they are fewer.
 
-    Of points with the same vector the one of least index stands for all in the buckets.
+    Of rows with the same vector the one of least id stands for all in the blocks.
     """
-    classes = cut_lineage(rows.groupBy("vec").agg(F.min("idx").alias("idx"), F.max("idx").alias("top")))
-    near = _nearest_first(_scored_buckets(classes.select("idx", "vec"), params, n, k, dim), k).drop("rank")
-    shared = classes.where(F.col("top") != F.col("idx")).select("vec", F.col("idx").alias("rep"))
+    classes = cut_lineage(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
+    near = _nearest_first(_scored_blocks(classes, k, probes, dim), k).drop("rank")
+    shared = classes.where(F.col("top") != F.col("rep")).select("vec", "rep")
     if shared.isEmpty():
         return near
-    members = cut_lineage(rows.join(shared, "vec").select("idx", "rep"))
-    part = Window.partitionBy("rep", F.pmod(F.xxhash64("idx"), F.lit(64))).orderBy("idx")
-    whole = Window.partitionBy("rep").orderBy("idx")
+    members = cut_lineage(rows.join(shared, "vec").select("id", "rep"))
+    part = Window.partitionBy("rep", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    whole = Window.partitionBy("rep").orderBy("id")
     firsts = members.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k + 1)
-    firsts = cut_lineage(firsts.groupBy("rep").agg(F.collect_list("idx").alias("firsts")))  # k + 1 each
+    firsts = cut_lineage(firsts.groupBy("rep").agg(F.collect_list("id").alias("firsts")))  # k + 1 each
     near = near.join(firsts.withColumnRenamed("rep", "dst"), "dst", "left").select("src", F.explode(F.coalesce("firsts", F.array("dst"))).alias("dst"), "dist")
     near = cut_lineage(_nearest_first(near, k).drop("rank"))
     alone = near.join(firsts.select(F.col("rep").alias("src")), "src", "left_anti")
-    others = members.join(near.withColumnRenamed("src", "rep"), "rep").select(F.col("idx").alias("src"), "dst", "dist")
-    own = members.join(firsts, "rep").select(F.col("idx").alias("src"), F.explode("firsts").alias("dst"), F.lit(0.0).alias("dist")).where(F.col("src") != F.col("dst"))
+    others = members.join(near.withColumnRenamed("src", "rep"), "rep").select(F.col("id").alias("src"), "dst", "dist")
+    own = members.join(firsts, "rep").select(F.col("id").alias("src"), F.explode("firsts").alias("dst"), F.lit(0.0).alias("dist")).where(F.col("src") != F.col("dst"))
     return alone.unionByName(_nearest_first(others.unionByName(own), k).drop("rank"))
 
 
-def _scored_buckets(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
-    """(src, dst, dist): the k nearest in each bucket of each of the different vectors, each pair once."""
-    pivots = _pivot_vectors(rows, n, max(params.pivots, min(n // ROWS_PER_PIVOT, MOST_PIVOTS)), params.seed)
-    if not len(pivots):  # all chosen ones are copies of others
-        pivots = np.array([r.vec for r in rows.orderBy("idx").limit(1).collect()])
-    tops = min(params.top_pivots, len(pivots))
+def _scored_blocks(classes: DataFrame, k: int, probes: int, dim: int) -> DataFrame:
+    """(src, dst, dist): the k nearest in each block of each of the different vectors, each pair in one block only.
 
-    def nearest(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        out = np.empty((len(unit), tops), np.int64)
-        for s in range(0, len(unit), 1024):
-            out[s : s + 1024] = np.argpartition(unit[s : s + 1024] @ pivots.T, len(pivots) - tops, axis=1)[:, len(pivots) - tops :]
-        return out
-
-    load = np.bincount(nearest(pivots, pivots).ravel(), minlength=len(pivots)) * (n / len(pivots))
-    parts = np.clip(np.ceil(load / BLOCK_ROWS), 1, (1 << PART_BITS) - 1).astype(np.int64)
-    shared = rows.sparkSession.sparkContext.broadcast((pivots, parts))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, parts = shared.value
-        for batch in batches:
-            idx, unit = _vectors(batch, dim)
-            cell = nearest(unit, pivots).ravel()
-            times = parts[cell]
-            row, cell, split = np.repeat(np.repeat(np.arange(len(idx)), tops), times), np.repeat(cell, times), np.repeat(times, times)
-            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            own = (idx[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split
-            block = (cell << (2 * PART_BITS)) | (np.minimum(own, other) << PART_BITS) | np.maximum(own, other)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(idx[row]), batch.column(1).take(pa.array(row))], names=["block", "idx", "vec"])
+    One of a vector's k nearest is among the k nearest of every block that holds both.
+    """
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _blocks(batches):
-            ids, unit = (np.concatenate(x) for x in zip(*(_vectors(x, dim, 2) for x in found)))
-            size = len(ids)
-            most, tile = min(k, size - 1), max(1, min(512, TILE // size))
-            for s in range(0, size if most else 0, tile):
-                e = min(s + tile, size)
-                far = np.maximum(0, 1 - unit[s:e] @ unit.T)
-                far[np.arange(e - s), np.arange(s, e)] = np.inf
-                edge = np.partition(far, most - 1, axis=1)[:, most - 1, None]
-                r, c = np.divmod(np.flatnonzero(far <= edge), size)  # more than k where some tie
-                dist = far[r, c]
-                order = np.lexsort((ids[c], dist, r))
-                first = np.searchsorted(r, np.arange(e - s))
-                keep = order[np.arange(len(r)) - first[r] < most]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s + r[keep]]), pa.array(ids[c[keep]]), pa.array(dist[keep])], names=["src", "dst", "dist"])
-
-    blocks = rows.select("idx", "vec").mapInArrow(assign, "block long, idx long, vec array<double>").repartition("block").sortWithinPartitions("block")
-    # a pair may meet in several blocks, with sums that differ in the last digit
-    return blocks.mapInArrow(score, "src long, dst long, dist double").repartition("src").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of equal first columns in sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(0).to_numpy()
-        cuts = [0, *(np.nonzero(keys[1:] != keys[:-1])[0] + 1).tolist(), len(keys)]
-        for s, e in zip(cuts, cuts[1:]):
-            if held and s < e and held[-1].column(0)[0].as_py() != keys[s]:
-                yield held
-                held = []
-            if s < e:
-                held.append(batch.slice(s, e - s))
-    if held:
-        yield held
+    def score(block: B.Block) -> pa.RecordBatch:
+        ids, unit, size, out = block.ids, block.unit, len(block.ids), []
+        tile = max(1, B.tile_rows(size) // 2)
+        for s in range(0, size, tile):
+            e = min(s + tile, size)
+            far = np.maximum(0, 1 - unit[s:e] @ unit.T)
+            far[np.arange(e - s), np.arange(s, e)] = np.inf
+            if block.side is not None:
+                far[block.side[s:e, None] == block.side[None, :]] = np.inf
+            most = min(k, size - 1)
+            edge = np.partition(far, most - 1, axis=1)[:, most - 1, None]
+            r, c = np.divmod(np.flatnonzero((far <= edge) & (far < np.inf)), size)  # more than k where some tie
+            dist = far[r, c]
+            order = np.lexsort((ids[c], dist, r))
+            first = np.searchsorted(r, np.arange(e - s))
+            keep = order[np.arange(len(r)) - first[r] < most]
+            out.append((s + r[keep], c[keep], dist[keep]))
+        r, c, dist = (np.concatenate(x) for x in zip(*out))
+        first = block.first_met(r, c)
+        return pa.RecordBatch.from_arrays([pa.array(ids[r[first]]), pa.array(ids[c[first]]), pa.array(dist[first])], names=["src", "dst", "dist"])
+
+    def code_bytes() -> int:
+        found = classes.select(F.length("vec")).first()  # all are of one length
+        return found[0] if found else 0
+
+    return B.per_block(B.in_blocks(classes, probes, dim, with_cells=True), score, "src long, dst long, dist double", probes, code_bytes(), dim)
 
 
 def _capped_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, dim: int) -> DataFrame:
@@ -279,7 +257,8 @@ def _capped_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, d
 
     No bucket is needed beyond its first max_candidates + 1 members, so these are broadcast.
     """
-    pivots = _pivot_vectors(rows, n, params.pivots, params.seed)
+    chosen = rows.sparkSession.createDataFrame([(x,) for x in choose_pivots(n, min(params.pivots, n), params.seed)], "idx long")
+    pivots = B.unpack(rows.join(F.broadcast(chosen), "idx").orderBy("idx").select("vec").toArrow().column(0), dim)  # `pivots` rows
     tops, cap = min(params.top_pivots, len(pivots)), params.max_candidates
 
     def nearest(unit: np.ndarray) -> np.ndarray:
@@ -288,7 +267,7 @@ def _capped_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, d
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            idx, unit = _vectors(batch, dim)
+            idx, unit = batch.column(0).to_numpy(), B.unpack(batch.column(1), dim)
             slots = nearest(unit)
             yield pa.RecordBatch.from_arrays([pa.array(slots.ravel().astype(np.int32)), pa.array(np.repeat(idx, tops))], names=["slot", "idx"])
 
@@ -298,14 +277,14 @@ def _capped_neighbours(rows: DataFrame, params: DensityParams, n: int, k: int, d
     heads = slots.withColumn("r", F.row_number().over(part)).where(F.col("r") <= cap + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= cap + 1).select("slot", "idx")
     table = heads.join(rows, "idx").orderBy("slot", "idx").toArrow()  # at most pivots * (cap + 1) rows
     slot, head = table["slot"].to_numpy(), table["idx"].to_numpy()
-    unit = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    unit = B.unpack(table["vec"], dim)
     cuts = np.searchsorted(slot, np.arange(len(pivots) + 1))
     shared = rows.sparkSession.sparkContext.broadcast((head, unit, cuts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, unit, cuts = shared.value
         for batch in batches:
-            idx, own = _vectors(batch, dim)
+            idx, own = batch.column(0).to_numpy(), B.unpack(batch.column(1), dim)
             src, dst, dist = [], [], []
             for x, v, mine in zip(idx.tolist(), own, nearest(own)):
                 rows = np.concatenate([np.arange(cuts[s], cuts[s + 1]) for s in mine])
@@ -356,16 +335,31 @@ class _Sets:
 
 
 def spanning_tree(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Row numbers of a minimum spanning forest, by (weight, u, v)."""
+    """Row numbers of the minimum spanning forest, by (weight, u, v): in each round every tree takes its least edge out."""
     ends, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = codes[: len(u)].tolist(), codes[len(u) :].tolist()
-    sets, kept = _Sets(len(ends)), []
-    for row in np.lexsort((v, u, weight)).tolist():
-        x, y = sets.find(a[row]), sets.find(b[row])
-        if x != y:
-            sets.parent[max(x, y)] = min(x, y)
-            kept.append(row)
-    return np.array(kept, np.int64)
+    order = np.lexsort((v, u, weight))
+    a, b = codes[: len(u)][order], codes[len(u) :][order]  # from here on edges are numbered by rank
+    tree, at, kept, none = np.arange(len(ends)), np.arange(len(order)), [], len(order)
+    while True:
+        x, y = tree[a[at]], tree[b[at]]
+        across = x != y
+        at, x, y = at[across], x[across], y[across]
+        if not len(at):
+            return np.sort(order[np.unique(np.concatenate(kept))]) if kept else order[:0]
+        least = np.full(len(ends), none)
+        np.minimum.at(least, x, at)
+        np.minimum.at(least, y, at)
+        roots = np.nonzero(least < none)[0]
+        taken = least[roots]
+        kept.append(taken)
+        parent = np.arange(len(ends))
+        p, q = tree[a[taken]], tree[b[taken]]
+        parent[roots] = np.where(p == roots, q, p)
+        both = parent[parent[roots]] == roots  # two trees that take the same edge
+        parent[roots] = np.where(both & (roots < parent[roots]), roots, parent[roots])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        tree = parent[tree]
 
 
 def select_clusters(u: np.ndarray, v: np.ndarray, weight: np.ndarray, min_size: int) -> list[np.ndarray]:
@@ -376,6 +370,7 @@ def select_clusters(u: np.ndarray, v: np.ndarray, weight: np.ndarray, min_size:
     no less than they do together. The root is never taken.
     """
     rows = spanning_tree(u, v, weight)
+    rows = rows[np.lexsort((v[rows], u[rows], weight[rows]))]
     ends, codes = np.unique(np.concatenate([u[rows], v[rows]]), return_inverse=True)
     n = len(ends)
     if n < min_size or not len(rows):
@@ -426,11 +421,20 @@ def cluster_labels(points: DataFrame, edges: DataFrame, min_size: int) -> DataFr
     schema = edges.select("u", "v", "weight").schema
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = list(batches)
-        if found:
-            whole = pa.Table.from_batches(found).combine_chunks()
-            rows = spanning_tree(*(whole[c].to_numpy() for c in ("u", "v", "weight")))
-            yield from whole.take(pa.array(rows)).to_batches()
+        held: list[pa.RecordBatch] = []
+
+        def smaller() -> list[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            return whole.take(pa.array(spanning_tree(*(whole[c].to_numpy() for c in ("u", "v", "weight"))))).to_batches()
+
+        limit = EDGES_HELD
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) > limit:
+                held = smaller()
+                limit = EDGES_HELD + 2 * sum(x.num_rows for x in held)
+        if held:
+            yield from smaller()
 
     fewer = cut_lineage(edges.select("u", "v", "weight").mapInArrow(reduce, schema))
     component = connected_components(fewer)

@@ -231,22 +231,20 @@ def upsert_latest(spark, sf):
     return store.latest_by_aggregate(rows, "point_id", F.col("row_id")).select("point_id", "row_id", "tags", "rating", "width", "height")
 
 
-def _exact_knn(spark, sf):
-    rows = table(spark, sf, "embeddings")
-    found = vector.batch_knn(rows, rows, 8, "vec_id", "embedding")
-    return found.select(F.col("query").alias("src"), F.col("other").alias("dst"), "rank", F.greatest(F.lit(0.0), 1 - F.col("cosine")).alias("dist"))
+def _knn(spark, sf):
+    return density.nearest_neighbours(table(spark, sf, "embeddings"), 8, "vec_id", "embedding")
 
 
-def exact_knn(spark, sf):
-    return _exact_knn(spark, sf).withColumn("dist", F.round("dist", 6))
+def knn_graph(spark, sf):
+    return _knn(spark, sf).withColumn("dist", F.round("dist", 6))
 
 
 def core_distance(spark, sf):
-    return density.core_distances(_exact_knn(spark, sf)).select("idx", F.round("core", 6).alias("core"))
+    return density.core_distances(_knn(spark, sf)).select("idx", F.round("core", 6).alias("core"))
 
 
 def mutual_reachability_edges(spark, sf):
-    knn = _exact_knn(spark, sf)
+    knn = _knn(spark, sf)
     return density.mutual_reachability(knn, density.core_distances(knn), 0.05).select("u", "v", F.round("weight", 6).alias("weight"))
 
 
@@ -257,13 +255,13 @@ def edge_dedupe(spark, sf):
 
 
 def connected_components(spark, sf):
-    knn = _exact_knn(spark, sf).where(F.col("rank") <= 1)
+    knn = _knn(spark, sf).where(F.col("rank") <= 1)
     return components.connected_components(knn, "src", "dst")
 
 
 def knn_components(spark, sf):
     """Components of the whole graph of 8 neighbours; no SQL, as a recursive one takes the square of a component."""
-    return components.connected_components(_exact_knn(spark, sf), "src", "dst")
+    return components.connected_components(_knn(spark, sf), "src", "dst")
 
 
 def cluster_summary(spark, sf):
@@ -290,6 +288,22 @@ def graph_density_labels(spark, sf):
     return density.density_clusters(table(spark, sf, "cluster_points")).select(F.col("id").alias("point_id"), "label")
 
 
+def found_clusters(spark, sf):
+    """(label, size, cohesion, representative) of the clusters that graph_density_labels finds."""
+    return density.cluster_summary(_members(spark, sf)).withColumn("cohesion", F.round("cohesion", 6))
+
+
+def found_members(spark, sf):
+    """(label, rank, id, similarity): the most typical members of the clusters that graph_density_labels finds."""
+    return density.cluster_preview(_members(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+def _members(spark, sf):
+    labels = density.density_clusters(table(spark, sf, "cluster_points")).select("id", "label").where(F.col("label") >= 0)
+    vectors = table(spark, sf, "cluster_points").where(F.size("image_vec") == 64).groupBy(F.col("point_id").alias("id")).agg(F.any_value("image_vec").alias("image_vec"))  # all rows of a point carry the same
+    return labels.join(vectors, "id")
+
+
 def cluster_membership(spark, sf):
     """Size of each label, noise (-1) included, with its share of all points."""
     sizes = graph_density_labels(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -329,8 +343,8 @@ QUERIES = {
     for f in (
         similar_topk, search_topk_all_sites, search_topk_site_list, hybrid_blend_topk, batch_knn, quantized_search, post_lookup, recent_page, recent_page_sites, site_counts, site_share_report, sites_metadata,
         activity_calendar, activity_rollup, point_id_roundtrip, payload_coercion, preflight_filter, post_urls, first_url_fallback, html_strip, unique_tags, site_list_parse, utc_dates, normalized_posts, first_posts, source_counts,
-        incremental_new_rows, checkpoint_max, status_fold, cycle_metrics, daily_window_counts, upsert_latest, exact_knn, core_distance, mutual_reachability_edges, edge_dedupe, connected_components, knn_components, cluster_summary,
-        cluster_preview, cluster_ranking, loose_clusters, random_projection, graph_density_labels, cluster_membership, embedded_tags, streaming_ingest, streaming_micro_batches, rating_exclusion,
+        incremental_new_rows, checkpoint_max, status_fold, cycle_metrics, daily_window_counts, upsert_latest, knn_graph, core_distance, mutual_reachability_edges, edge_dedupe, connected_components, knn_components, cluster_summary,
+        cluster_preview, cluster_ranking, loose_clusters, random_projection, graph_density_labels, found_clusters, found_members, cluster_membership, embedded_tags, streaming_ingest, streaming_micro_batches, rating_exclusion,
     )
 }
 
@@ -480,7 +494,7 @@ SELECT r.site_namespace * 1000000000000 + post_id AS point_id, post_id, site, r.
   coalesce(direct_image_url, thumbnail_url) AS direct_image_url, tags, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST({NOW} AS BIGINT) AS ingestion_date, rating FROM fit JOIN site_registry r USING (site) WHERE n = 1""",
     "daily_window_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS count FROM ingest_log WHERE ts IS NOT NULL GROUP BY 1, 2",
     "upsert_latest": f"WITH {POINTS} SELECT point_id, row_id, tags, rating, width, height FROM pts",
-    "exact_knn": f"WITH {_KNN} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn",
+    "knn_graph": f"WITH {_KNN} SELECT src, dst, rank, round(dist, 6) AS dist FROM knn",
     "core_distance": f"WITH {_KNN} SELECT idx, round(core, 6) AS core FROM core",
     "mutual_reachability_edges": f"""WITH {_KNN} SELECT least(src, dst) AS u, greatest(src, dst) AS v, round(min(greatest(a.core, b.core, dist + 0.05)), 6) AS weight
 FROM knn JOIN core a ON a.idx = src JOIN core b ON b.idx = dst GROUP BY 1, 2""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +19,7 @@ def build_session(app: str = "mosaiq", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it
         "spark.ui.enabled": "false",
     }
     b = SparkSession.builder.appName(app)
@@ -45,11 +48,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The checkpoint folder: the session's spark.checkpoint.dir, or a temporary one where that is unset and all runs here.
+
+    On a cluster it must be set, as a folder of this machine isn't shared.
+    """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        found = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="mosaiq-checkpoint-")
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            found = tempfile.mkdtemp(prefix="mosaiq-checkpoint-")
+            atexit.register(shutil.rmtree, found, True)
         sc.setCheckpointDir(found)
     return found
 

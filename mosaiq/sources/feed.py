@@ -22,7 +22,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pa_fs
@@ -43,8 +43,12 @@ class FetchError(OSError):
         self.status = status
 
 
-def fetch(url: str, retries: int = RETRIES, first_wait: float = FIRST_WAIT, timeout: float = TIMEOUT, sleep: Callable[[float], None] = time.sleep, user: tuple[str, str] | None = None) -> bytes:
-    """The body of an answer 200. 429, 5xx and lost connections are tried again, waiting twice as long each time."""
+def fetch(url: str, retries: int = RETRIES, first_wait: float = FIRST_WAIT, timeout: float = TIMEOUT, sleep: Callable[[float], None] = time.sleep, user: tuple[str, str] | None = None, most: int | None = None) -> bytes:
+    """The body of an answer 200, of at most `most` bytes. 429, 5xx and lost connections are tried again, waiting twice as
+    long each time.
+    """
+    if urlsplit(url).scheme not in ("http", "https"):
+        raise FetchError("not an http address")
     request = urllib.request.Request(url, headers={"User-Agent": "mosaiq/1"})
     if user:
         import base64
@@ -55,11 +59,16 @@ def fetch(url: str, retries: int = RETRIES, first_wait: float = FIRST_WAIT, time
         status = None
         try:
             with urllib.request.urlopen(request, timeout=timeout) as answer:
-                return answer.read()
+                body = answer.read() if most is None else answer.read(most + 1)
+                if most is not None and len(body) > most:
+                    raise FetchError(f"more than {most} bytes", 200)
+                return body
         except urllib.error.HTTPError as error:
             status, why = error.code, str(error)
             if error.code != 429 and error.code < 500:
                 raise FetchError(why, status) from error
+        except FetchError:
+            raise
         except (urllib.error.URLError, OSError) as error:
             why = str(error)
         if not left:

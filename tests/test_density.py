@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from mosaiq.operators import blocks as B
 from mosaiq.operators import components
 from mosaiq.operators import density as D
 
@@ -13,7 +15,7 @@ def planted(groups, size, noise, dim=16):
 
     def word():
         nonlocal state
-        state = D.hash64(state)
+        state = D.splitmix64(state)
         return (state >> 11) / 2**53 * 2 - 1
 
     out, truth = [], []
@@ -32,7 +34,7 @@ def planted(groups, size, noise, dim=16):
 
 def labels(spark, vectors, dim=16, **params):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")
-    found = D.density_clusters(df, D.DensityParams(min_cluster_size=10, neighbours=8, pivots=16, **params), dim=dim)
+    found = D.density_clusters(df, D.DensityParams(min_cluster_size=10, neighbours=8, pivots=16, capped=True, **params), dim=dim)
     return [r.label for r in found.orderBy("idx").collect()]
 
 
@@ -145,16 +147,16 @@ def nearest_by_brute_force(vectors, k):
     return np.sort(far, axis=1)[:, :k]
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 300])
-def test_buckets_are_scored_whole(spark, monkeypatch, block_rows):
-    """More points in one bucket than max_candidates, a tenth of them copies of one: neighbours of any index are found."""
-    monkeypatch.setattr(D, "BLOCK_ROWS", block_rows)
+@pytest.mark.parametrize("part_rows", [20_000, 300])
+def test_blocks_are_scored_whole(spark, monkeypatch, part_rows):
+    """More points in one block than max_candidates, a tenth of them copies of one: neighbours of any index are found."""
+    monkeypatch.setattr(B, "PART_ROWS", part_rows)
     rng = np.random.default_rng(4)
     vectors = rng.standard_normal((1500, 16))
     vectors[::10] = vectors[7]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")
-    params = D.DensityParams(min_cluster_size=5, neighbours=6, pivots=1, top_pivots=1)
+    params = D.DensityParams(min_cluster_size=5, neighbours=6)
     got = {}
     for r in D.approximate_knn(D.index_points(df, dim=16), params, 16).orderBy("src", "rank").collect():
         got.setdefault(r.src, []).append((r.dst, r.dist))
@@ -164,6 +166,35 @@ def test_buckets_are_scored_whole(spark, monkeypatch, block_rows):
     assert all(abs(1 - vectors[i] @ vectors[j] - far) < 1e-12 for i, x in got.items() for j, far in x)
 
 
+@pytest.mark.parametrize("name, rows", [("sf0.01", 2_000), ("sf0.1", 20_000)])
+def test_recall_of_the_neighbours(spark, name, rows):
+    """Of the 32 nearest of all points, at least nine tenths are found."""
+    df = spark.read.parquet(f"/root/testdata/{name}/cluster_points.parquet")
+    points = D.index_points(df)
+    got = {r.src: r.found for r in D.approximate_knn(points, D.DensityParams()).groupBy("src").agg(F.collect_set("dst").alias("found")).collect()}
+    unit = B.unpack(points.orderBy("idx").select("vec").toArrow().column(0)).astype(np.float32)
+    asked = np.random.default_rng(1).choice(len(unit), 1000, replace=False)
+    cos = unit[asked] @ unit.T
+    cos[np.arange(1000), asked] = -2
+    want = np.argpartition(-cos, 31, axis=1)[:, :32]
+    assert len(unit) > rows and np.mean([len({*w} & {*got[i]}) / 32 for i, w in zip(asked.tolist(), want.tolist())]) > 0.9
+
+
+def test_spanning_tree_by_merging():
+    rng = np.random.default_rng(6)
+    for n, m in ((2, 1), (40, 30), (60, 400), (300, 2000)):
+        u, v = rng.integers(0, n, (2, m))
+        u, v, w = u[u != v], v[u != v], rng.integers(0, 9, int((u != v).sum())).astype(float)
+        sets, want = D._Sets(n), []
+        for k in np.lexsort((v, u, w)).tolist():
+            x, y = sets.find(int(u[k])), sets.find(int(v[k]))
+            if x != y:
+                sets.parent[x] = y
+                want.append(k)
+        got = D.spanning_tree(u, v, w)
+        assert sorted(w[got]) == sorted(w[want]) and len(got) == len(want)
+
+
 def test_the_cap_is_an_option(spark):
     vectors, _ = planted(1, 60, 0)
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "point_id long, image_vec array<double>")

@@ -69,7 +69,7 @@ def test_source(spark, web, tmp_path):
     stream = spark.readStream.format("posts_feed").option("urls", json.dumps(urls)).option("retries", "0").load()
     query = stream.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path)).trigger(once=True).start()
     query.awaitTermination(60)
-    assert [r.site for r in seen] == ["rule34"]
+    assert [(r.site, r.body is None, "404" in (r.error or "")) for r in seen] == [("rule34", False, False), ("xbooru", True, True)]
 
 
 def test_downloads(spark, web):

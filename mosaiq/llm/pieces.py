@@ -2,8 +2,9 @@
 
 A subtitle text is parsed into a tree: the file, its cues (blocks after a blank line, or from a timing line on), their
 lines, and the words of a line; a word beyond WORD_TOKENS tokens is parted at character borders. Bottom-up, neighbouring
-subtrees of one parent are merged while they stay within the limit; only nodes beyond it are descended into. Each piece
-but the first is then led in by the end of the text before it, from a line start where one lies near enough.
+subtrees are merged while they stay within what the piece's lead leaves of the limit; only nodes beyond the limit, or
+beyond that rest at the start of a piece, are descended into. Each piece but the first is led in by the end of the text
+before it: the least number of whole words with at least `overlap` tokens.
 
 All cuts lie between pre-tokens, so a piece has the tokens it has within the file, but for white space at its end, which
 is counted apart; n_tokens is the exact count of the piece by itself.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,9 @@ WORD_TOKENS = 16
 
 _LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _LINE_GAP = re.compile(f"[\n\r\x0b\x0c\x85\u2028\u2029][{T.SPACE}]*")
+_IN_LINE = "[^\\S\n\r\x0b\x0c\x85\u2028\u2029]*"
 #: fixed pattern: start and end time of a cue in the three formats, as srt, vtt or sbv write it
-_TIMING = re.compile(r"\s*(?:\d+:)?\d+:\d+[.,]\d+\s*(?:-->|,)\s*(?:\d+:)?\d+:\d+[.,]\d+")
+_TIMING = re.compile(rf"(?:\d+:)?\d+:\d+[.,]\d+{_IN_LINE}(?:-->|,){_IN_LINE}(?:\d+:)?\d+:\d+[.,]\d")
 _NUMBER = re.compile(r"\s*\d+\s*$")
 
 
@@ -64,40 +67,35 @@ def structure(text: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gaps = [(m.end(), m.group()) for m in _LINE_GAP.finditer(text)]
     if gaps and gaps[-1][0] == len(text):
         gaps.pop()
+    ends = [end for end, _ in gaps]
     # the atom that holds the first character of the line, or the space before it
-    heads = (np.searchsorted(starts, [end for end, _ in gaps], side="right") - 1).tolist()
+    heads = (np.searchsorted(starts, ends, side="right") - 1).tolist()
     lines = [0, *heads]
-    blank = {0, *(k for k, (_, gap) in zip(heads, gaps) if len(gap) > 1 and len(_LINE_END.findall(gap)) > 1)}
-    stop = [*starts[lines[1:]].tolist(), int(starts[-1])]
-    for n, (k, end) in enumerate(zip(lines, stop)):
-        if _TIMING.match(text, int(starts[k]), end):
+    blank = {0, *(k for k, (_, gap) in zip(heads, gaps) if len(gap) > 1 and _is_blank_line(gap))}
+    place = {end: n for n, end in enumerate(ends, 1)}  # the number of the line by its first character
+    place[len(text) - len(text.lstrip())] = 0
+    for found in _TIMING.finditer(text):
+        if (n := place.get(found.start())) is not None:
             before = lines[n - 1] if n else 0
-            numbered = n and _NUMBER.match(text[int(starts[before]) : int(starts[k])])
-            blank.add(before if numbered else k)
+            numbered = n and _NUMBER.match(text, int(starts[before]), int(starts[lines[n]]))
+            blank.add(before if numbered else lines[n])
     return np.array(sorted(blank)), np.array(lines)
 
 
-def pack(first: int, last: int, level: int, cum: np.ndarray, levels: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
-    """Ranges of atoms of at most `limit` tokens that cover [first, last) in order."""
+@lru_cache(maxsize=4096)
+def _is_blank_line(gap: str) -> bool:
+    return len(_LINE_END.findall(gap)) > 1
+
+
+def leaves(first: int, last: int, level: int, cum: np.ndarray, levels: list[np.ndarray], limit: int) -> list[int]:
+    """Ends of the subtrees of at most `limit` tokens that cover the atoms [first, last) in order."""
     if cum[last] - cum[first] <= limit or last - first == 1:
-        return [(first, last)]
-    if level < len(levels):
-        inner = levels[level]
-        cuts = inner[np.searchsorted(inner, first, side="right") : np.searchsorted(inner, last)].tolist()
-        children = list(zip([first, *cuts], [*cuts, last]))
-        if len(children) == 1:
-            return pack(first, last, level + 1, cum, levels, limit)
-    else:
-        children = [(k, k + 1) for k in range(first, last)]
-    out: list[tuple[int, int]] = []
-    for a, b in children:
-        parts = [(a, b)] if cum[b] - cum[a] <= limit or level >= len(levels) else pack(a, b, level + 1, cum, levels, limit)
-        for s, e in parts:  # merged with the sibling before it, if both fit
-            if out and cum[e] - cum[out[-1][0]] <= limit:
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
-    return out
+        return [last]
+    if level == len(levels):
+        return list(range(first + 1, last + 1))
+    inner = levels[level]
+    cuts = inner[np.searchsorted(inner, first, side="right") : np.searchsorted(inner, last)].tolist()
+    return [end for a, b in zip([first, *cuts], [*cuts, last]) for end in leaves(a, b, level + 1, cum, levels, limit)]
 
 
 def cut_text(text: str, table: T._Table, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -109,34 +107,47 @@ def cut_text(text: str, table: T._Table, limit: int = LIMIT, overlap: int = OVER
     cum = np.concatenate([[0], np.cumsum(counts)])
     if cum[-1] <= limit:
         return [(0, 0, len(text), int(cum[-1]))]
-    cues, lines = structure(text, starts)
-    room = max(limit - 2 * overlap - WORD_TOKENS, 1)
-    out = []
-    for a, b in pack(0, len(pieces), 0, cum, [cues, lines], room):
-        lead = a
-        if a and overlap:
-            lead = max(int(np.searchsorted(cum, cum[a] - overlap, side="right")) - 1, 0)
-            natural = lines[np.searchsorted(lines, lead, side="right") - 1]
-            if cum[a] - cum[natural] <= 2 * overlap:
-                lead = int(natural)
+    levels, size = list(structure(text, starts)), len(pieces)
+    ends = np.array(leaves(0, size, 0, cum, levels, limit))
+    lines = np.append(levels[1], size)
+
+    def tokens(lead: int, b: int) -> int:
         tail = b
         while tail > lead and T.is_space(pieces[tail - 1]):
             tail -= 1
-        n = int(cum[tail] - cum[lead]) + (len(table["".join(pieces[tail:b])]) // 4 if tail < b else 0)
+        return int(cum[tail] - cum[lead]) + (len(table["".join(pieces[tail:b])]) // 4 if tail < b else 0)
+
+    out, a = [], 0
+    while a < size:
+        lead = max(int(np.searchsorted(cum, cum[a] - overlap, side="right")) - 1, 0) if a else 0
+        most = cum[lead] + limit
+        while True:
+            furthest = int(np.searchsorted(cum, most, side="right")) - 1  # the last atom's end within the limit
+            b = max((int(x[k]) for x in (ends, lines) if (k := int(np.searchsorted(x, furthest, side="right")) - 1) >= 0 and x[k] > a and (x is ends or not _reaches(ends, a, furthest))), default=max(furthest, a + 1))
+            if (n := tokens(lead, b)) <= limit or b == a + 1:
+                break
+            most = cum[b] - 1  # white space at the end takes more tokens by itself
         out.append((int(starts[lead]), int(starts[a]), int(starts[b]), n))
+        a = b
     return out
 
 
+def _reaches(ends: np.ndarray, a: int, furthest: int) -> bool:
+    """Whether a subtree ends after a, up to furthest."""
+    k = int(np.searchsorted(ends, furthest, side="right")) - 1
+    return k >= 0 and ends[k] > a
+
+
 def split_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP, name: str = T.BYTE_BPE, folder: str | None = None) -> DataFrame:
     """(key, piece, start, own_start, stop, n_tokens, text) of every text of more than `limit` tokens.
 
     piece counts from 1; start, own_start and stop are characters from 0: the piece is [start, stop), and [start,
-    own_start) is shared with the piece before it, at least `overlap` tokens and at most twice as many, if a line starts
-    there, or a word more. The own parts cover the text without gap. Texts within the limit, empty and null ones give no
+    own_start) is shared with the piece before it: the fewest whole words (in parts of WORD_TOKENS, long ones) before it
+    that have `overlap` tokens. The own parts cover the text without gap. Texts within the limit, empty and null ones give no
     rows. One scan, no shuffle.
     """
-    if not 0 <= 2 * overlap + WORD_TOKENS < limit:
-        raise ValueError("limit must exceed twice the overlap and WORD_TOKENS")
+    if not 0 <= overlap + 2 * WORD_TOKENS < limit:
+        raise ValueError("limit must exceed the overlap and twice WORD_TOKENS")
     path = T.vocabulary_path(name, folder)
     source = documents.select(key, text)
     kind = source.schema[key].dataType.simpleString()

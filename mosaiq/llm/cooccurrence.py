@@ -15,14 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mosaiq.llm.frequency import count_points, term_frequencies, term_pairs
+from mosaiq.llm.frequency import count_points, term_frequencies
 from mosaiq.operators.packed import segment
+from mosaiq.runtime import cut_lineage
 
 MIN_TOGETHER = 5
 MIN_SHARE = 1000  # 1000 * n_ab >= n
 MIN_LIFT = 4.0
 HEAVY_ITEMS = 256
 BLOCK = 1 << 16
+HELD_PAIRS = 4_000_000  # counts that a task keeps before it gives them out
 
 
 def _popcounts(bits: np.ndarray) -> np.ndarray:
@@ -76,25 +78,44 @@ def merge_counts(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.
     return keys, np.bincount(at, weights=np.concatenate(counts), minlength=len(keys)).astype(np.int64)
 
 
-def pair_counts(posts: DataFrame, ids: dict[str, int], record: str = "point_id", packed: str = "tags", heavy: int = HEAVY_ITEMS, block: int = BLOCK) -> DataFrame:
-    """(a, b, n_ab) of all pairs of the given items (ids by falling frequency) that occur on one record.
+def term_lists(posts: DataFrame, record: str = "point_id", packed: str = "tags") -> DataFrame:
+    """(record, terms array<string>): the terms of the rows with a record id and a packed field, each once a batch and record."""
+    source = posts.select(F.col(record).alias("record"), packed).where(F.col(record).isNotNull() & F.col(packed).isNotNull())
+    kind = source.schema["record"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged: dict = {}  # rows of one record are folded before the shuffle
+            for rec, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if found := segment(s):
+                    merged.setdefault(rec, set()).update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(merged), batch.schema.field(0).type), pa.array([sorted(x) for x in merged.values()], pa.list_(pa.string()))], names=["record", "terms"])
+
+    return source.mapInArrow(run, f"record {kind}, terms array<string>")
+
+
+def pair_counts(lists: DataFrame, ids: dict[str, int], heavy: int = HEAVY_ITEMS, block: int = BLOCK) -> DataFrame:
+    """(a, b, n_ab) of all pairs of the given items (ids by falling frequency) that occur on one record of term_lists().
 
     Rows of one record count together; its repeated items count once.
     """
     items, heavy = len(ids), min(heavy, len(ids))
-    shared = posts.sparkSession.sparkContext.broadcast(ids)
-    source = posts.select(F.col(record).alias("record"), packed).where(F.col(record).isNotNull() & F.col(packed).isNotNull())
-    kind = source.schema["record"].dataType.simpleString()
+    shared = lists.sparkSession.sparkContext.broadcast(ids)
+    kind = lists.schema["record"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
         for batch in batches:
-            merged: dict = {}  # rows of one record are folded before the shuffle
-            for rec, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {i for t in segment(s) if (i := get(t)) is not None}
-                if found:
-                    merged.setdefault(rec, set()).update(found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(merged), batch.schema.field(0).type), pa.array([sorted(x) for x in merged.values()], pa.list_(pa.int16() if items < 32_768 else pa.int32()))], names=["record", "items"])
+            column = batch.column(1)
+            coded = column.flatten().dictionary_encode()
+            number = np.array([get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            row, number = row[number >= 0], number[number >= 0]
+            order = np.lexsort((number, row))
+            row, number = row[order], number[order]
+            held, starts = np.unique(row, return_index=True)
+            offsets = pa.array(np.append(starts, len(row)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), pa.ListArray.from_arrays(offsets, pa.array(number.astype(np.int16 if items < 32_768 else np.int32)))], names=["record", "items"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts, offset = [], [], 0
@@ -117,6 +138,9 @@ def pair_counts(posts: DataFrame, ids: dict[str, int], record: str = "point_id",
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if len(codes) == 1 and len(codes[0]) > HELD_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(codes[0] // items), pa.array(codes[0] % items), pa.array(counts[0])], names=["a", "b", "n_ab"])
+                codes, counts = [], []
             rec = batch.column(0).dictionary_encode()
             code = rec.indices.to_numpy()
             change = np.append(batch.column(0)[0].as_py() != last, code[1:] != code[:-1])
@@ -136,7 +160,7 @@ def pair_counts(posts: DataFrame, ids: dict[str, int], record: str = "point_id",
             key, n = merge_counts(codes, counts)
             yield pa.RecordBatch.from_arrays([pa.array(key // items), pa.array(key % items), pa.array(n)], names=["a", "b", "n_ab"])
 
-    encoded = source.mapInArrow(encode, f"record {kind}, items array<{'smallint' if items < 32_768 else 'int'}>")
+    encoded = lists.mapInArrow(encode, f"record {kind}, items array<{'smallint' if items < 32_768 else 'int'}>")
     partial = encoded.repartition("record").sortWithinPartitions("record").mapInArrow(count, "a long, b long, n_ab long")
     return partial.groupBy("a", "b").agg(F.sum("n_ab").alias("n_ab"))
 
@@ -148,13 +172,15 @@ def items_together(posts: DataFrame, record: str = "point_id", packed: str = "ta
     spark, posts = posts.sparkSession, posts.where(F.col(record).isNotNull())
     n = count_points(posts, record)
     least = max(min_together, -(-n // min_share))
-    frequent = term_frequencies(term_pairs(posts, record, packed, None)).where(F.col("n_points") >= least).select("term", "n_points").collect()
+    lists = cut_lineage(term_lists(posts, record, packed))  # fields are cut once
+    pairs = lists.select(F.lit(packed).alias("field_name"), F.explode("terms").alias("term"), "record", F.lit(1).cast("long").alias("n"))
+    frequent = term_frequencies(pairs).where(F.col("n_points") >= least).select("term", "n_points").collect()  # min_share * items a record at most
     frequent.sort(key=lambda r: (-r.n_points, r.term))
     terms, sizes = [r.term for r in frequent], [r.n_points for r in frequent]
     schema = "term_a string, term_b string, n_ab long, n_a long, n_b long, lift double"
     if len(terms) < 2:
         return spark.createDataFrame([], schema)
-    counted = pair_counts(posts, {t: i for i, t in enumerate(terms)}, record, packed).where(F.col("n_ab") >= least)
+    counted = pair_counts(lists, {t: i for i, t in enumerate(terms)}).where(F.col("n_ab") >= least)
     names = spark.createDataFrame(list(zip(range(len(terms)), terms, sizes)), "id long, term string, size long")
     a, b = names.toDF("a", "t_a", "s_a"), names.toDF("b", "t_b", "s_b")
     joined = counted.join(F.broadcast(a), "a").join(F.broadcast(b), "b")  # at most min_share * items per record entries

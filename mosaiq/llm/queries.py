@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosaiq.llm import clusters, containers, cooccurrence, duplicates, frequency, neighbours, pieces, tokens
 from mosaiq.plans.training import TERMS_SQL, normal_sql
-from mosaiq.runtime import table
+from mosaiq.runtime import cut_lineage, table
 
 
 def _posts(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,7 +15,8 @@ def _posts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _marked(spark: SparkSession, sf: str) -> DataFrame:
     posts = _posts(spark, sf)
-    return frequency.mark_terms(frequency.term_frequencies(frequency.term_pairs(posts)), frequency.count_points(posts))
+    # kept, as the range partitioning reads its input twice
+    return frequency.mark_terms(frequency.term_frequencies(cut_lineage(frequency.term_pairs(posts))), frequency.count_points(posts))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +72,34 @@ def p10_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.split_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_clusters, p5_found, p5_groups, p6_found, p6_similar, p8_ids, p9_containers, p10_pieces)}
+def p9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents, those of which all parts are there, containers beyond the capacity, documents parted needlessly."""
+    parts = cut_lineage(p9_containers(spark, sf))
+    over = parts.groupBy("container").agg(F.sum("n_tokens").alias("fill")).agg(F.count_if(F.col("fill") > containers.CAPACITY).alias("over_capacity"))
+    each = parts.groupBy("doc_id").agg(F.count_distinct("part").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("n_parts").alias("n_parts"), F.sum("n_tokens").alias("size"))
+    whole = each.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") == F.col("n_parts")) & (F.col("rows") == F.col("n"))).alias("whole"),
+        F.count_if((F.col("n_parts") > 1) & (F.col("size") <= containers.CAPACITY)).alias("parted_needlessly"),
+    )
+    return whole.crossJoin(over)  # one row each
+
+
+def p10_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, digest, fine): each text put together from its pieces' own parts, or as it is where it has none; fine if its
+    pieces are within the limit, follow each other and share text."""
+    found = pieces.split_documents(table(spark, sf, "documents"))
+    own = F.expr("substring(text, CAST(own_start - start + 1 AS int))")
+    # a document's pieces come to its text
+    row = F.array_sort(F.collect_list(F.struct("piece", "start", "own_start", "stop", "n_tokens", own.alias("own"))))
+    each = found.groupBy("doc_id").agg(row.alias("p"))
+    follow = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda k: (F.get("p", k)["own_start"] == F.get("p", k - 1)["stop"]) & (F.get("p", k)["start"] < F.get("p", k)["own_start"]) & (F.get("p", k)["piece"] == k + 1))
+    fine = follow & F.forall("p", lambda x: x.n_tokens <= pieces.LIMIT)
+    rebuilt = each.select("doc_id", F.array_join(F.transform("p", lambda x: x.own), "").alias("rebuilt"), fine.alias("fine"))
+    texts = table(spark, sf, "documents").select("doc_id", "text")
+    return texts.join(rebuilt, "doc_id", "left").select("doc_id", F.md5(F.coalesce("rebuilt", "text")).alias("digest"), F.coalesce("fine", F.lit(True)).alias("fine"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_pairs, p4_found, p4_clusters, p5_found, p5_groups, p6_found, p6_similar, p8_ids, p9_containers, p9_checked, p10_pieces, p10_rebuilt)}
 
 _COUNTED = f"""
 WITH {TERMS_SQL},
@@ -117,17 +145,27 @@ near AS (SELECT a.point_id AS point_a, b.point_id AS point_b, len(list_intersect
 pairs AS (SELECT point_a, point_b FROM near WHERE k > 0 AND k >= 0.5 * (s - k))
 """
 
+_CLUSTERS = f"""
+WITH RECURSIVE {_units('cluster_points')},
+links AS (SELECT a.point_id AS a, b.point_id AS b FROM units a JOIN units b ON list_inner_product(a.v, b.v) >= 0.86),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+labelled AS (SELECT a AS point_id, min(b) AS cluster_key FROM reach GROUP BY a),
+members AS (SELECT cluster_key, point_id FROM labelled WHERE cluster_key IN (SELECT cluster_key FROM labelled GROUP BY 1 HAVING count(*) >= 8))
+"""
+
 ORACLES = {
     "p1_found": _COUNTED + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _COUNTED + "SELECT * FROM marked",
     "p2_found": _PAIRED + "SELECT term_a, term_b FROM scored",
     "p2_pairs": _PAIRED + "SELECT * FROM scored",
-    "p4_found": f"""
-WITH RECURSIVE {_units('cluster_points')},
-links AS (SELECT a.point_id AS a, b.point_id AS b FROM units a JOIN units b ON list_inner_product(a.v, b.v) >= 0.86),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
-labelled AS (SELECT a AS point_id, min(b) AS cluster_key FROM reach GROUP BY a)
-SELECT cluster_key, point_id FROM labelled WHERE cluster_key IN (SELECT cluster_key FROM labelled GROUP BY 1 HAVING count(*) >= 8)""",
+    "p4_found": _CLUSTERS + "SELECT cluster_key, point_id FROM members",
+    "p4_clusters": _CLUSTERS.rstrip() + """,
+dense AS (SELECT a AS point_id, count(*) - 1 AS density FROM links GROUP BY 1),
+names AS (SELECT point_id, min(post_id) AS post_id FROM cluster_points GROUP BY 1),
+ranked AS (SELECT cluster_key, point_id, post_id, density, row_number() OVER (PARTITION BY cluster_key ORDER BY density DESC, point_id) AS r FROM members JOIN dense USING (point_id) JOIN names USING (point_id))
+SELECT cluster_key, count(*) AS n_points, string_agg(post_id || ':' || point_id || ' ' || density, ',' ORDER BY r) FILTER (r <= 5) AS typical_posts FROM ranked GROUP BY 1""",
+    "p9_checked": "SELECT count(*) AS documents, count(*) AS whole, 0 AS parted_needlessly, 0 AS over_capacity FROM documents",
+    "p10_rebuilt": "SELECT doc_id, md5(text) AS digest, true AS fine FROM documents",
     "p5_groups": f"""
 WITH RECURSIVE {_NEAR_DUPLICATES},
 links AS (SELECT point_a AS a, point_b AS b FROM pairs UNION ALL SELECT point_b, point_a FROM pairs),

@@ -269,14 +269,14 @@ class Block:
         return out
 
 
-def _smaller_blocks(block: Block, probes: int) -> Iterator[Block]:
-    """The block itself, or blocks around pivots of its own if it is large."""
+def smaller_blocks(block: Block, probes: int, most: int, rows_per_pivot: int) -> Iterator[Block]:
+    """The block itself, or blocks around pivots of its own if it has more than `most` rows."""
     size = len(block.ids)
-    if size <= SUB_ROWS:
+    if size <= most:
         yield block
         return
     order = np.argsort(block.ids.astype(np.uint64) * HASH, kind="stable")
-    cells = np.sort(Pivots(block.unit[order[: max(1, size // ROWS_PER_PIVOT)]]).nearest(block.unit, probes), axis=1)
+    cells = np.sort(Pivots(block.unit[order[: max(1, size // rows_per_pivot)]]).nearest(block.unit, probes), axis=1).astype(np.int64)
     at = np.argsort(cells.ravel(), kind="stable")
     numbers = cells.ravel()[at]
     for s, e in zip(*_runs(numbers)):
@@ -323,6 +323,8 @@ def per_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch | None],
     code_bytes is the length of a packed vector; what follows it are the numbers of the vector's blocks.
     """
 
+    most, rows_per_pivot = SUB_ROWS, ROWS_PER_PIVOT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in by_key(batches):
             if rows.num_rows < 2:
@@ -340,7 +342,7 @@ def per_block(blocks: DataFrame, work: Callable[[Block], pa.RecordBatch | None],
                 earlier = np.where(cells < number >> (2 * PART_BITS), cells, -1)  # no cell at all is a great number
             first, second = (number >> PART_BITS) & ((1 << PART_BITS) - 1), number & ((1 << PART_BITS) - 1)
             whole = Block(ids, unpack(raw[:, :code_bytes], dim), tag.astype(np.int64) >> 1, (tag & 1).astype(bool) if first != second else None, earlier)
-            for block in _smaller_blocks(whole, probes):
+            for block in smaller_blocks(whole, probes, most, rows_per_pivot):
                 out = work(block)
                 if out is not None and out.num_rows:
                     yield out

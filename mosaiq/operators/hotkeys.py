@@ -3,7 +3,7 @@
 Each map task folds its rows into mergeable key states; only those compact states are shuffled. Counts, minima and maxima
 are Spark's own partial aggregates, over the key as it is written: few spellings, brought to one form only when they
 have been counted. The set of distinct items of a key is such a state too: a map task holds the ids it has met in
-bounded tables, one for each key and range of 2^RANGE_BITS ids, and gives out their sorted gaps as bytes, one to three a number; states
+bounded tables, one for each key and range of 2^RANGE_BITS ids, and gives out their sorted gaps as bytes, one to four a number; states
 of a key and range meet in one task, which merges them, many by a bit map, so neither a hot key nor its set is
 ever in one place.
 """

@@ -49,3 +49,11 @@ def test_rows(spark):
     assert split_packed(df.where("row_id = 4"), "tags", ["row_id"]).count() == 20_000
     assert split_packed(df.limit(0), "tags", ["row_id"]).count() == 0
     assert known_values(df, "tags") == ('"c d"',)
+
+
+def test_a_dictionary_changes_rows_where_nothing_else_protects(spark):
+    """Values known from elsewhere are kept whole though they stand unquoted; without them they fall apart."""
+    df = spark.createDataFrame([(1, "red, new york |blue"), (2, 'new york,"a b"'), (3, None)], "row_id long, tags string")
+    rows = lambda known: {(r.row_id, r.pos, r.term) for r in split_packed(df, "tags", ["row_id"], known).collect()}
+    assert rows(("new york",)) == {(1, 1, "red"), (1, 2, "new_york"), (1, 3, "blue"), (2, 1, "new_york"), (2, 2, "a_b")}
+    assert rows(()) == {(1, 1, "red"), (1, 2, "new"), (1, 3, "york"), (1, 4, "blue"), (2, 1, "new"), (2, 2, "york"), (2, 3, "a_b")}
